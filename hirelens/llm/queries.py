@@ -11,12 +11,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hirelens.llm.substrings import repeats
+
+    return repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hirelens.llm.language import identify
 
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hirelens.llm.toxicity import toxic_passages
+
+    return toxic_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hirelens.llm.winnowing import winnow
+
+    return winnow(table(spark, sf_dir, "documents"))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hirelens.llm.near_duplicates import near_duplicates
 
