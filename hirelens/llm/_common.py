@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Functions go to the workers by value, so that executors need no copy of this package.
@@ -18,11 +18,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__.rpartition(".")[0]])
 ODD = 0x9E3779B97F4A7C15
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared checkpoint folder, so that a lost executor takes nothing with it.
-
-    The folder is that of spark.checkpoint.dir; only a local session without one gets a temporary folder."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, from spark.checkpoint.dir; only a local session without one gets a temporary folder."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -31,6 +28,12 @@ def durable(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="hirelens-checkpoint-")
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the shared checkpoint folder, so that a lost executor takes nothing with it."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -38,6 +41,12 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def token_count(text: str | Column) -> Column:
+    """Words of a text, divided by white space, and one token for its end; 0 for a null, empty or blank one. An estimate that needs no tokenizer."""
+    n = F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0))
+    return F.when(n > 0, n + 1).otherwise(0).cast("bigint")
+
+
 def arrow_map(df: DataFrame, make: Callable[[dict], Iterator[dict]], schema: str) -> DataFrame:
     """make gets each Arrow batch as {column: list} and yields {column: list or array} in schema's order."""
     from pyspark.sql.pandas.types import to_arrow_schema

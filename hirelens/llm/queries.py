@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,12 +19,24 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats(table(spark, sf_dir, "documents"))
 
 
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hirelens.llm.neighbours import neighbours
+
+    return neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hirelens.llm.language import identify
 
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hirelens.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hirelens.llm.toxicity import toxic_passages
 
@@ -35,14 +49,35 @@ def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow(table(spark, sf_dir, "documents"))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents have no paths; each stands for the file <source>/<lang>/<doc_id>.txt."""
+    from hirelens.llm.licenses import scan
+
+    docs = table(spark, sf_dir, "documents")
+    return scan(docs.select("doc_id", F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"), "text"))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hirelens.llm.near_duplicates import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hirelens.llm.chat import format_chats
+
+    return format_chats(table(spark, sf_dir, "conversations"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources by tokens to the power of 0.7, the shares of languages as they are."""
+    from hirelens.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"), margins=("lang",))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
+    return {k: f for k, f in globals().items() if re.match(r"op\d+_", k)}
 
 
 def oracle_sql() -> dict[str, str]:

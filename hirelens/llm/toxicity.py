@@ -15,8 +15,8 @@ from hirelens.llm._common import arrow_map, durable, range_hashes, spans
 TRAIN_DOCS = 20_000
 #: Weight of the prior against the tokens of the training sample, and the z from which a token counts.
 PRIOR, LEAST_Z = 0.01, 4.0
-#: What each token that doesn't count takes off a segment; a passage's p-value from which it is significant.
-DRIFT, ALPHA = 0.1, 0.001
+#: What each token takes off its log-odds, which is 0 if it doesn't count; a passage's p-value from which it is significant.
+DRIFT, ALPHA = 0.5, 1e-8
 LETTER = np.array([chr(c).isalnum() and c < 128 or c >= 128 for c in range(256)])
 
 
@@ -80,10 +80,12 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, prio
     """Token scores and the extreme-value parameters, from at most train_docs labelled rows. The driver gets significant tokens and clean documents' best scores only."""
     chosen = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id")).limit(train_docs)
     sample = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter("text is not null").join(F.broadcast(chosen), "doc_id")
+    # copies of one text would make each of its words telling
+    sample = durable(sample.groupBy("text").agg(F.max("toxic").alias("toxic")))
 
     def count(x: dict) -> Iterator[dict]:
         toxic = np.array(x["toxic"]) > 0
-        sides = [np.unique(np.concatenate([np.zeros(0, np.uint64)] + [tokens(t) for t, y in zip(x["text"], toxic) if y == side]), return_counts=True) for side in (True, False)]
+        sides = [np.unique(np.concatenate([np.zeros(0, np.uint64)] + [np.unique(tokens(t)) for t, y in zip(x["text"], toxic) if y == side]), return_counts=True) for side in (True, False)]
         yield {"h": np.concatenate([h for h, _ in sides]).view(np.int64), "toxic": np.concatenate([sides[0][1], 0 * sides[1][1]]), "clean": np.concatenate([0 * sides[0][1], sides[1][1]])}
 
     counts = durable(arrow_map(sample, count, "h bigint, toxic bigint, clean bigint").groupBy("h").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")))
@@ -101,7 +103,7 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, prio
     delta, z = log_odds(np.append(t, n["toxic"] - t.sum()), np.append(c, n["clean"] - c.sum()), prior)
     use = np.abs(z[:-1]) >= least_z
     order = np.argsort(h[use].view(np.uint64))
-    model = {"h": h[use].view(np.uint64)[order], "score": delta[:-1][use][order], "rate": 0.0, "k": 1.0}
+    model = {"h": h[use].view(np.uint64)[order], "score": delta[:-1][use][order] - drift, "rate": 0.0, "k": 1.0}
     model["rate"] = rate(model["score"], c[use][order] / n["clean"], drift)
 
     def extremes(x: dict) -> Iterator[dict]:
@@ -124,7 +126,7 @@ def passages(h: np.ndarray, model: dict, drift: float = DRIFT) -> list[tuple[int
 def toxic_passages(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, drift: float = DRIFT, **bounds: float) -> DataFrame:
     """docs (doc_id, text, ...) and labels (doc_id, toxic, ...) to (doc_id, start_token, end_token, score, p_value, n_passages, best_score, doc_p_value): every significant passage, and what its document's passages come to. Documents without one have no row; no shuffle of docs.
 
-    A token scores its log-odds in toxic against clean documents if its z is 4 or more either way, else -drift; a text's passages are all its maximal-scoring segments. A score s among m tokens has p = 1 - exp(-k m exp(-rate s)), with the rate by Karlin and Altschul over clean token shares and k fitted to clean documents' best scores; passages with p up to alpha are significant. doc_p_value is the least p.
+    A token scores its log-odds in toxic against clean documents (each document counts once) if its z is 4 or more either way, else 0, less drift; a text's passages are all its maximal-scoring segments. A score s among m tokens has p = 1 - exp(-k m exp(-rate s)), with the rate by Karlin and Altschul over clean token shares and k fitted to clean documents' best scores; passages with p up to alpha are significant. doc_p_value is the least p.
 
     Texts that are null, empty or without letters give nothing; nor does any text if labels is empty or all of one kind. A document with both labels counts as toxic. Repeated rows of docs each give their passages; other columns don't matter. Whole texts are scanned."""
     model = train(docs, labels, drift=drift, **bounds)
