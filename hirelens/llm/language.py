@@ -51,17 +51,20 @@ def automaton(codes: list[int]) -> list[dict[int, int]]:
     return go
 
 
-def table(go: list[dict[int, int]], width: int) -> np.ndarray:
+def edges(go: list[dict[int, int]]) -> np.ndarray:
+    """The automaton as rows (state, code, next state): a few for each character of training text, which is what goes to the workers."""
+    return np.array([(s, c, q) for s, out in enumerate(go) for c, q in out.items()], np.uint32).reshape(-1, 3)
+
+
+def table(rows: np.ndarray, width: int) -> np.ndarray:
     """The automaton as a parser: entry [state * width + code] is the next state, with the number of phrases that ended in bits 30 and 31."""
+    s, c, q = rows.T.astype(np.int64)
     root = np.full(width, 1 << 30, np.uint32)  # a code that the language lacks is a phrase
-    for c, q in go[0].items():
-        root[c] = q
-    out = np.empty((len(go), width), np.uint32)
+    root[c[s == 0]] = q[s == 0]
+    out = np.empty((int(max(s.max(initial=0), q.max(initial=0))) + 1, width), np.uint32)
     out[:] = root + np.uint32(1 << 30)  # the match ends; the code begins the next phrase
     out[0] = root
-    for s, edges in enumerate(go[1:], 1):
-        for c, q in edges.items():
-            out[s, c] = q
+    out[s, c] = q
     return out.ravel()
 
 
@@ -109,11 +112,11 @@ def phrases(texts: list[np.ndarray], tables: list[np.ndarray], width: int) -> np
 
 
 def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_chars: int = TRAIN_CHARS) -> dict:
-    """A parser for each language in docs.lang, from at most train_docs rows and train_chars characters of it: those of least hash of doc_id, of 100 to 20,000 characters. The bounds keep the tables that go to the workers at about 30 MB for four languages."""
+    """A parser for each language in docs.lang, from at most train_docs rows and train_chars characters of it: those of least hash of doc_id, of 100 to 20,000 characters. The bounds keep what goes to the workers at about 1 MB a language, and the tables they make of it at 20 MB."""
     usable = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang")).filter("lang is not null and doc_id is not null").withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)))
     counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
-        return {"langs": [], "codes": fold(""), "tables": [], "width": 2, "sizes": []}
+        return {"langs": [], "codes": fold(""), "edges": [], "width": 2, "sizes": []}
     below = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int((1 << 32) * min(1.0, 4 * train_docs / n)))])
     rows = usable.filter(F.col("h") < below[F.col("lang")]).filter(F.length("text").between(100, TRAIN_LONGEST)).collect()
     text: dict[str, str] = {}
@@ -129,11 +132,12 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_chars: int = TRAI
     codes = fold("".join(sorted(sorted(seen, key=lambda c: (-seen[c], c))[:ALPHABET])))
     width = int(codes.max()) + 1
     coded = [encode(t, codes) for t in text.values()]
-    return {"langs": list(text), "codes": codes, "width": width, "sizes": [len(x) for x in coded], "tables": [table(automaton(x.tolist()), width) for x in coded]}
+    return {"langs": list(text), "codes": codes, "width": width, "sizes": [len(x) for x in coded], "edges": [edges(automaton(x.tolist())) for x in coded]}
 
 
 def score(texts: list[str | None], model: dict) -> Iterator[tuple[str | None, float | None, float | None]]:
     """Of each text: the best language, its bits a character, and those of the second."""
+    tables = model.setdefault("tables", [table(e, model["width"]) for e in model["edges"]] if "tables" not in model else None)
     coded = [encode(t or "", model["codes"]) for t in texts]
     k = 0
     while k < len(coded):
@@ -141,7 +145,7 @@ def score(texts: list[str | None], model: dict) -> Iterator[tuple[str | None, fl
         while end < len(coded) and (end == k or total + len(coded[end]) <= 12_000_000):
             total += len(coded[end])
             end += 1
-        c = phrases(coded[k:end], model["tables"], model["width"])
+        c = phrases(coded[k:end], tables, model["width"])
         for j in range(k, end):
             if not (n := len(coded[j])) or not model["langs"]:
                 yield None, None, None

@@ -37,7 +37,7 @@ def test_phrases_against_search():
     rng = random.Random(1)
     coded = [[rng.randint(0, 4) for _ in range(400)], [rng.randint(2, 6) for _ in range(300)]]
     texts = [bytes(rng.randint(0, 7) for _ in range(n)) for n in (0, 1, 5, 300, L.BLOCK, L.BLOCK + 1, 3 * L.BLOCK + 7)]
-    got = L.phrases([np.frombuffer(t, np.uint8) for t in texts], [L.table(L.automaton(c), 8) for c in coded], 8)
+    got = L.phrases([np.frombuffer(t, np.uint8) for t in texts], [L.table(L.edges(L.automaton(c)), 8) for c in coded], 8)
     assert got.tolist() == [[naive(t, bytes(c)) for t in texts] for c in coded]
 
 
