@@ -13,10 +13,10 @@ from hirelens.llm._common import arrow_map, durable, range_hashes, spans
 
 #: At most so many labelled rows train the model, those of least hash of doc_id; so the broadcast of their ids is bounded too.
 TRAIN_DOCS = 20_000
-#: Weight of the prior against the tokens of the training sample, and the z from which a token counts.
-PRIOR, LEAST_Z = 0.01, 4.0
+#: The prior weighs as much as so many times the root of the number of tokens in training, so the less the more of them there are; and the z from which a token counts.
+PRIOR, LEAST_Z = 20.0, 3.5
 #: What each token takes off its log-odds, which is 0 if it doesn't count; a passage's p-value from which it is significant.
-DRIFT, ALPHA = 0.5, 1e-8
+DRIFT, ALPHA = 1.5, 1e-7
 LETTER = np.array([chr(c).isalnum() and c < 128 or c >= 128 for c in range(256)])
 
 
@@ -30,7 +30,7 @@ def tokens(text: str) -> np.ndarray:
 def log_odds(toxic: np.ndarray, clean: np.ndarray, prior: float = PRIOR) -> tuple[np.ndarray, np.ndarray]:
     """Of each token's counts: the log-odds ratio with an informative Dirichlet prior (Monroe, Colaresi and Quinn 2008) in proportion to the token's share of both classes, and its z."""
     n_t, n_c, both = toxic.sum(), clean.sum(), toxic + clean
-    total = max(1.0, prior * both.sum())
+    total = max(1.0, prior * math.sqrt(both.sum()))
     a = total * both / max(1, both.sum())
     t, c = toxic + a, clean + a
     delta = np.log(t / (n_t + total - t)) - np.log(c / (n_c + total - c))
@@ -119,14 +119,14 @@ def passages(h: np.ndarray, model: dict, drift: float = DRIFT) -> list[tuple[int
     if not len(model["h"]) or not len(h):
         return []
     k = np.minimum(np.searchsorted(model["h"], h), len(model["h"]) - 1)
-    at = np.flatnonzero(model["h"][k] == h)
+    at = np.flatnonzero((model["h"][k] == h) & (h != np.concatenate([~h[:1], h[:-1]])))
     return segments(at.tolist(), model["score"][k[at]].tolist(), drift) if len(at) else []
 
 
 def toxic_passages(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, drift: float = DRIFT, **bounds: float) -> DataFrame:
     """docs (doc_id, text, ...) and labels (doc_id, toxic, ...) to (doc_id, start_token, end_token, score, p_value, n_passages, best_score, doc_p_value): every significant passage, and what its document's passages come to. Documents without one have no row; no shuffle of docs.
 
-    A token scores its log-odds in toxic against clean documents (each document counts once) if its z is 4 or more either way, else 0, less drift; a text's passages are all its maximal-scoring segments. A score s among m tokens has p = 1 - exp(-k m exp(-rate s)), with the rate by Karlin and Altschul over clean token shares and k fitted to clean documents' best scores; passages with p up to alpha are significant. doc_p_value is the least p.
+    A token scores its log-odds in toxic against clean documents (each document counts once) if its z is 3.5 or more either way, else 0, less drift (0 too if it repeats the token before it); a text's passages are all its maximal-scoring segments. A score s among m tokens has p = 1 - exp(-k m exp(-rate s)), with the rate by Karlin and Altschul over clean token shares and k fitted to clean documents' best scores; passages with p up to alpha are significant. doc_p_value is the least p.
 
     Texts that are null, empty or without letters give nothing; nor does any text if labels is empty or all of one kind. A document with both labels counts as toxic. Repeated rows of docs each give their passages; other columns don't matter. Whole texts are scanned."""
     model = train(docs, labels, drift=drift, **bounds)
