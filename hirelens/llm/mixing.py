@@ -15,6 +15,8 @@ from hirelens.llm._common import durable, token_count
 #: Without given targets, a source's weight is its share of tokens to this power, so that small sources are raised.
 TEMPERATURE = 0.7
 MOST_STEPS, TOLERANCE = 60, 1e-9
+#: Up to so many cells (sources by margins' groups) go to every executor; more are joined by a shuffle.
+BROADCAST_CELLS = 100_000
 #: Weight, as a share of the tokens, of half the squared multipliers in the dual: so it has a least point even if no rates meet all constraints, which then are met as nearly as it allows.
 RIDGE = 1e-8
 
@@ -96,6 +98,9 @@ def copies(docs: DataFrame, targets: dict | None = None, margins: tuple[str, ...
     found = rates(docs, targets, margins, total).select(*[F.col(c).alias(f"mix_{c}") for c in by], F.col("rate").alias("mix_rate"))
     same = [F.col(c).cast("string").eqNullSafe(F.col(f"mix_{c}")) for c in by]
     chance = F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("text", F.lit(7))).otherwise(F.xxhash64(F.col("doc_id").cast("bigint"), F.lit(7))), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    found = durable(found)
+    if found.limit(BROADCAST_CELLS + 1).count() <= BROADCAST_CELLS:
+        found = F.broadcast(found)
     joined = docs.join(found, functools.reduce(lambda a, b: a & b, same), "left").withColumn("mix_rate", F.coalesce("mix_rate", F.lit(0.0)))
     return joined.withColumn("mix_copies", (F.floor("mix_rate") + (chance < F.col("mix_rate") - F.floor("mix_rate")).cast("int")).cast("int")).drop(*[f"mix_{c}" for c in by])
 
