@@ -32,12 +32,13 @@ TEMPLATES = [
     ("Proprietary", "All rights reserved."),
 ]
 CUE = r"(?i)licen[sc]|copyright|rights reserved|permission is hereby|redistribution and use|public domain|free software|terms of the|\bCC[ -]?(?:BY|0)"
+TERM = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 LEAST = 0.6
 LICENCE_FILE = r"(?i)^(?:licen[sc]e|copying|unlicense)(?:[.-].*)?$"
 
 
 def terms(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^a-z0-9.-]+|[.-]+(?=[^a-z0-9]|$)"), lambda x: x != "")
+    return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
 
 
 def notices(files: DataFrame, least: float = LEAST) -> DataFrame:
@@ -91,3 +92,27 @@ def scan(files: DataFrame, least: float = LEAST) -> DataFrame:
     all_ = known.join(nearest, "dir", "left")
     mine = F.col("licence").isNotNull()
     return all_.select("doc_id", "path", F.coalesce("licence", "near.dir_licence").alias("licence"), "score", F.when(mine, "notice").when(F.col("near").isNotNull(), "inherited").otherwise("none").alias("origin"), F.when(~mine, F.col("near.from_dir")).alias("from_dir"))
+
+
+#: scan over the files <source>/<lang>/<doc_id>.txt that the documents stand for. Only directories two deep hold files there, so the nearest licence is that of a document's own.
+SQL = f"""
+WITH templates(template, licence, wording) AS (VALUES {", ".join(f"({k}, '{licence}', '{wording}')" for k, (licence, wording) in enumerate(TEMPLATES))}),
+cut AS (SELECT doc_id, regexp_split_to_array(text, '\\r\\n|[\\n\\r\\x0b\\f\\x{{85}}\\x{{2028}}\\x{{2029}}]') AS ls, len(regexp_split_to_array(trim(text), '\\s+')) AS n_words FROM documents WHERE regexp_matches(text, '{CUE}')),
+lines AS (SELECT doc_id, n_words, unnest(range(len(ls))) AS pos, unnest(ls) AS line FROM cut),
+runs AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM lines WHERE regexp_matches(line, '{CUE}')),
+passages AS (SELECT doc_id, run, string_agg(line, ' ' ORDER BY pos) AS passage, max(n_words) AS n_words FROM runs GROUP BY ALL),
+n AS (SELECT count(*) AS n FROM passages),
+tf AS (SELECT doc_id, run, term, count(*) AS tf FROM (SELECT doc_id, run, unnest(regexp_extract_all(lower(passage), '{TERM}')) AS term FROM passages) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY ALL),
+w AS (SELECT doc_id, run, tf.term, tf * (ln((n + 1.0) / (df + 1.0)) + 1.0) AS w FROM tf JOIN df USING (term), n),
+tw AS (SELECT template, licence, t.term, t.tf * (ln((n + 1.0) / (coalesce(df, 0) + 1.0)) + 1.0) AS tw FROM (SELECT template, licence, term, count(*) AS tf FROM (SELECT template, licence, unnest(regexp_extract_all(lower(wording), '{TERM}')) AS term FROM templates) GROUP BY ALL) t LEFT JOIN df ON df.term = t.term, n),
+tn AS (SELECT template, sqrt(sum(tw * tw)) AS tn FROM tw GROUP BY ALL),
+wn AS (SELECT doc_id, run, sqrt(sum(w * w)) AS wn FROM w GROUP BY ALL),
+dots AS (SELECT doc_id, run, template, licence, sum(w * tw) AS dot FROM w JOIN tw USING (term) GROUP BY ALL),
+scored AS (SELECT *, round(dot / (wn * tn), 6) AS score FROM dots JOIN tn USING (template) JOIN wn USING (doc_id, run)),
+best AS (SELECT * FROM scored WHERE score >= {LEAST} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, template, run) = 1),
+found AS (SELECT doc_id, licence, score, len(regexp_split_to_array(trim(passage), '\\s+')) * 2 >= n_words AS whole FROM best JOIN passages USING (doc_id, run)),
+known AS (SELECT d.doc_id, concat_ws('/', d.source, d.lang) AS dir, licence, score, whole FROM documents d LEFT JOIN found USING (doc_id)),
+dirs AS (SELECT dir, licence AS dir_licence FROM known WHERE whole QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, doc_id) = 1)
+SELECT doc_id, dir || '/' || doc_id || '.txt' AS path, coalesce(licence, dir_licence) AS licence, score, CASE WHEN licence IS NOT NULL THEN 'notice' WHEN dir_licence IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin, CASE WHEN licence IS NULL AND dir_licence IS NOT NULL THEN dir END AS from_dir
+FROM known LEFT JOIN dirs USING (dir)"""

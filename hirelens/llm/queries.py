@@ -81,4 +81,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from hirelens.llm.licenses import SQL
+
+    return {"op7_licenses": SQL}

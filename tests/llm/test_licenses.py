@@ -8,7 +8,7 @@ from hirelens.llm import licenses as L
 
 
 def words(text):
-    return [x for x in re.split(r"[^a-z0-9.-]+|[.-]+(?=[^a-z0-9]|$)", text.lower()) if x]
+    return re.findall(r"[a-z0-9]+(?:[.-][a-z0-9]+)*", text.lower())
 
 
 def brute(docs, least=L.LEAST):
