@@ -103,6 +103,7 @@ def appended(candidates: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def visible_tabs(role: str | Column) -> Column:
-    """The parts of the application that a role sees."""
+    """The parts that a role sees, the first by default; a candidate can't change postings."""
     r = F.col(role) if isinstance(role, str) else role
-    return F.when(r == "recruiter", F.array(*map(F.lit, ("analyzer", "talent-pool", "job-postings", "history")))).otherwise(F.array(*map(F.lit, ("analyzer", "job-postings", "history"))))
+    tabs = lambda *names: F.array(*map(F.lit, names))
+    return F.when(r == "recruiter", tabs("talent-pool", "job-postings")).when(r == "candidate", tabs("active-match", "job-postings", "history")).otherwise(tabs("job-postings"))

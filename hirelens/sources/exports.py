@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from hirelens.functions.text import array_or_empty, csv_field, falsy_to, first_piece, to_fixed1
 from hirelens.operators.ranking import export_summary
 
-HEADERS = ("Candidate Name", "Status", "Match Score", "Current Position", "Skills", "Missing Skills", "Strategic Assessment", "Resume File")
+HEADERS = tuple("Candidate Name|Status|Match Score|Current Position|Skills|Missing Skills|Strategic Assessment|Resume File".split("|"))
 NONE = "N/A"
 
 
