@@ -1,4 +1,4 @@
-"""Toxic passages: maximal-scoring segments of token log-odds, calibrated by extreme-value statistics."""
+"""Toxic passages: maximal-scoring segments of token log-odds, summed over each document and calibrated on clean ones."""
 
 from __future__ import annotations
 
@@ -15,7 +15,7 @@ from hirelens.llm._common import arrow_map, durable, range_hashes, spans
 TRAIN_DOCS = 20_000
 #: The prior weighs as much as so many times the root of the number of tokens in training, so the less the more of them there are; and the z from which a token counts.
 PRIOR, LEAST_Z = 20.0, 3.5
-#: What each token takes off its log-odds, which is 0 if it doesn't count; a passage's p-value from which it is significant.
+#: What each token takes off its log-odds, which is 0 if it doesn't count; a document's p-value from which it is significant.
 DRIFT, ALPHA = 1.5, 1e-7
 LETTER = np.array([chr(c).isalnum() and c < 128 or c >= 128 for c in range(256)])
 
@@ -77,7 +77,7 @@ def rate(score: np.ndarray, share: np.ndarray, drift: float) -> float:
 
 
 def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, prior: float = PRIOR, least_z: float = LEAST_Z, drift: float = DRIFT) -> dict:
-    """Token scores and the extreme-value parameters, from at most train_docs labelled rows. The driver gets significant tokens and clean documents' best scores only."""
+    """Token scores and the parameters of the passages of clean text, from at most train_docs labelled rows. The driver gets significant tokens and the clean documents' number of passages only."""
     chosen = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id")).limit(train_docs)
     sample = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter("text is not null").join(F.broadcast(chosen), "doc_id")
     # copies of one text would make each of its words telling
@@ -100,19 +100,38 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, prio
     if not rows:
         return none
     h, t, c = (np.array([r[k] for r in rows], np.int64) for k in ("h", "toxic", "clean"))
-    delta, z = log_odds(np.append(t, n["toxic"] - t.sum()), np.append(c, n["clean"] - c.sum()), prior)
-    use = np.abs(z[:-1]) >= least_z
-    order = np.argsort(h[use].view(np.uint64))
-    model = {"h": h[use].view(np.uint64)[order], "score": delta[:-1][use][order] - drift, "rate": 0.0, "k": 1.0}
-    model["rate"] = rate(model["score"], c[use][order] / n["clean"], drift)
 
-    def extremes(x: dict) -> Iterator[dict]:
-        out = [(len(h), max([0.0, *(s for _, _, s in passages(h, model, drift))])) for h in map(tokens, x["text"])]
-        yield {"n": [len(out)], "weight": [sum(m * math.exp(-model["rate"] * s) for m, s in out)]}
+    def scores(c: np.ndarray, seen: np.ndarray) -> dict:
+        delta, z = log_odds(np.append(t, n["toxic"] - t.sum()), np.append(c, n["clean"] - c.sum()), prior)
+        use = np.flatnonzero((np.abs(z[:-1]) >= least_z) & seen)
+        use = use[np.argsort(h[use].view(np.uint64))]
+        return {"h": h[use].view(np.uint64), "score": delta[use] - drift, "use": use}
 
-    # Of P(best >= s) = 1 - exp(-k m exp(-rate s)), the maximum-likelihood k over clean documents of m tokens
-    fit = arrow_map(sample.filter("toxic = 0").select("text"), extremes, "n bigint, weight double").agg(F.sum("n").alias("n"), F.sum("weight").alias("weight")).first()
-    return model | {"k": fit["n"] / max(fit["weight"] or 0, 1e-9) if fit["n"] else 1.0}
+    model = scores(c, c >= 0) | {"rate": 0.0, "k": 1.0}
+    # each token as if one more clean document had it: else those in none would count as impossible there, and the first to have one, perhaps a wrong label, would decide
+    share = (c + 1) / (n["clean"] + len(c))
+    model["rate"] = rate(model["score"], share[model.pop("use")], drift)
+    # a clean document is scored by the others' counts: its own occurrences would hide what it has of the toxic ones' words
+    others = scores(np.maximum(0, c - 1), c > 0)
+
+    def passed(x: dict) -> Iterator[dict]:
+        texts = [tokens(t) for t in x["text"]]
+        yield {"tokens": [sum(map(len, texts))], "passages": [sum(len(passages(h, others, drift)) for h in texts)]}
+
+    # passages of clean documents a token, one more than were met, as none met doesn't mean none
+    fit = arrow_map(sample.filter("toxic = 0").select("text"), passed, "tokens bigint, passages bigint").agg(F.sum("tokens").alias("tokens"), F.sum("passages").alias("passages")).first()
+    return model | {"k": ((fit["passages"] or 0) + 1) / max(fit["tokens"] or 0, 1)}
+
+
+def sum_p_value(x: float, mean: float) -> float:
+    """P(S >= x) of the sum S of a Poisson number (of that mean) of exponential variables of mean 1: the sum over j of P(Poisson(x) = j) P(Poisson(mean) > j)."""
+    if x <= mean:
+        return 1.0
+    j = np.arange(int(x + 12 * math.sqrt(x)) + 60)
+    fact = np.concatenate([[0.0], np.cumsum(np.log(j[1:]))])
+    log_n = j * math.log(mean) - mean - fact
+    above = np.concatenate([np.logaddexp.accumulate(log_n[::-1])[::-1][1:], [-np.inf]])
+    return float(min(1.0, np.exp(j * math.log(x) - x - fact + above).sum()))
 
 
 def passages(h: np.ndarray, model: dict, drift: float = DRIFT) -> list[tuple[int, int, float]]:
@@ -124,9 +143,9 @@ def passages(h: np.ndarray, model: dict, drift: float = DRIFT) -> list[tuple[int
 
 
 def toxic_passages(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, drift: float = DRIFT, **bounds: float) -> DataFrame:
-    """docs (doc_id, text, ...) and labels (doc_id, toxic, ...) to (doc_id, start_token, end_token, score, p_value, n_passages, best_score, doc_p_value): every significant passage, and what its document's passages come to. Documents without one have no row; no shuffle of docs.
+    """docs (doc_id, text, ...) and labels (doc_id, toxic, ...) to (doc_id, start_token, end_token, score, p_value, n_passages, best_score, doc_p_value): every passage of each significant document, and what they come to together. Other documents have no row; no shuffle of docs.
 
-    A token scores its log-odds in toxic against clean documents (each document counts once) if its z is 3.5 or more either way, else 0, less drift (0 too if it repeats the token before it); a text's passages are all its maximal-scoring segments. A score s among m tokens has p = 1 - exp(-k m exp(-rate s)), with the rate by Karlin and Altschul over clean token shares and k fitted to clean documents' best scores; passages with p up to alpha are significant. doc_p_value is the least p.
+    A token scores its log-odds in toxic against clean documents (each document counts once) if its z is 3.5 or more either way, else 0, less drift (0 too if it repeats the token before it); a text's passages are all its maximal-scoring segments. In clean text of m tokens their number is about Poisson of mean k m and rate s exponential, with the rate by Karlin and Altschul over clean token shares (each token counted in one document more) and k the passages a token of clean documents, each scored without its own counts. So a passage's p_value is 1 - exp(-k m exp(-rate s)), and all passages of a document together have the p of a compound Poisson sum; doc_p_value is the lesser of that and the least p_value, without correction for the choice. A document with doc_p_value up to alpha is significant, however far apart its passages stand; p_value may then be over alpha.
 
     Texts that are null, empty or without letters give nothing; nor does any text if labels is empty or all of one kind. A document with both labels counts as toxic. Repeated rows of docs each give their passages; other columns don't matter. Whole texts are scanned."""
     model = train(docs, labels, drift=drift, **bounds)
@@ -139,9 +158,11 @@ def toxic_passages(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, dri
         for doc, t in zip(x["doc_id"], x["text"]):
             h, m = tokens(t), shared.value
             if got := passages(h, m, drift):
-                p = [-math.expm1(-m["k"] * len(h) * math.exp(-m["rate"] * s)) for _, _, s in got]
-                own = [(doc, a, b, s, q) for (a, b, s), q in zip(got, p) if q <= alpha]
-                out += [(*r, len(own), max(x[3] for x in own), min(x[4] for x in own)) for r in own]
+                mean, whole = m["k"] * len(h), [m["rate"] * s for _, _, s in got]
+                p = [-math.expm1(-mean * math.exp(-s)) for s in whole]
+                doc_p = min(*p, sum_p_value(sum(whole), mean))
+                if doc_p <= alpha:
+                    out += [(doc, *g, q, len(got), max(x[2] for x in got), doc_p) for g, q in zip(got, p)]
         yield dict(zip(("doc_id", "start_token", "end_token", "score", "p_value", "n_passages", "best_score", "doc_p_value"), zip(*out) if out else [[]] * 8))
 
     return arrow_map(docs.select(F.col("doc_id").cast("bigint"), "text").filter("text is not null"), make, SCHEMA)

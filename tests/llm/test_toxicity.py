@@ -1,5 +1,7 @@
+import math
 import random
 
+import numpy as np
 import pytest
 
 from hirelens.llm import toxicity as T
@@ -74,3 +76,24 @@ def test_edges(spark):
     assert [r.start_token for r in rows if r.doc_id == 1004] == [60_000]
     for a, b in ((docs.limit(0), labels), (docs, labels.limit(0)), (docs, labels.filter("toxic = 0")), (docs, labels.filter("toxic = 1"))):
         assert T.toxic_passages(a, b).count() == 0
+
+
+def test_scattered_and_noisy(spark):
+    """Insults far apart in a long text count together, and a wrong label among the clean ones changes little."""
+    d, y = corpus(4)
+    rng = random.Random(5)
+    far = [rng.choice([f"word{k}é" for k in range(300)]) for _ in range(9_000)]
+    insulted = [f"slur{k % 8}" if k % 600 == 300 else w for k, w in enumerate(far)]
+    docs, labels = frames(spark, [*d, (1000, " ".join(insulted)), (1001, " ".join(far)), (1002, " ".join(f"slur{k}" for k in range(8)))], [*y, (1002, 0)])
+    rows = [r for r in T.toxic_passages(docs, labels).collect() if r.doc_id in (1000, 1001)]
+    assert sorted((r.doc_id, r.start_token) for r in rows) == [(1000, k) for k in range(300, 9_000, 600)]
+    assert {(r.n_passages, r.doc_p_value <= T.ALPHA, r.p_value > T.ALPHA) for r in rows} == {(15, True, True)}
+
+
+def test_sum_p_value():
+    rng = np.random.default_rng(0)
+    s = np.array([rng.exponential(size=n).sum() for n in rng.poisson(3, 200_000)])
+    for x in (3.5, 6.0, 10.0, 14.0):
+        assert T.sum_p_value(x, 3.0) == pytest.approx((s >= x).mean(), rel=0.1)
+    assert T.sum_p_value(20.0, 1e-6) == pytest.approx(1e-6 * math.exp(-20), rel=1e-3)
+    assert T.sum_p_value(1.0, 2.0) == 1 and 0 <= T.sum_p_value(5000.0, 40.0) < 1e-300
