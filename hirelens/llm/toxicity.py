@@ -27,14 +27,13 @@ def tokens(text: str) -> np.ndarray:
     return range_hashes(b.astype(np.uint64) + np.uint64(1), s, e)
 
 
-def log_odds(toxic: np.ndarray, clean: np.ndarray, prior: float = PRIOR) -> tuple[np.ndarray, np.ndarray]:
-    """Of each token's counts: the log-odds ratio with an informative Dirichlet prior (Monroe, Colaresi and Quinn 2008) in proportion to the token's share of both classes, and its z."""
-    n_t, n_c, both = toxic.sum(), clean.sum(), toxic + clean
-    total = max(1.0, prior * math.sqrt(both.sum()))
-    a = total * both / max(1, both.sum())
+def log_odds(toxic, clean, n_t: int, n_c: int, prior: float = PRIOR, of=np):  # noqa: ANN001, ANN201
+    """Of each token's counts among n_t and n_c: the log-odds ratio with an informative Dirichlet prior (Monroe, Colaresi and Quinn 2008) in proportion to the token's share of both classes, and its z. Arrays, or columns with functions as `of`."""
+    total = max(1.0, prior * math.sqrt(n_t + n_c))
+    a = (toxic + clean) * (total / max(1, n_t + n_c))
     t, c = toxic + a, clean + a
-    delta = np.log(t / (n_t + total - t)) - np.log(c / (n_c + total - c))
-    return delta, delta / np.sqrt(1 / t + 1 / c)
+    delta = of.log(t / (n_t + total - t)) - of.log(c / (n_c + total - c))
+    return delta, delta / of.sqrt(1 / t + 1 / c)
 
 
 def segments(at: list[int], score: list[float], drift: float = DRIFT) -> list[tuple[int, int, float]]:
@@ -93,17 +92,19 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, prio
     none = {"h": np.zeros(0, np.uint64), "score": np.zeros(0), "rate": 0.0, "k": 1.0}
     if not n["toxic"] or not n["clean"]:
         return none
-    # a token seen less often than this can't reach least_z even if no clean document has it
-    few = [(c, float(log_odds(np.array([c, n["toxic"] - c]), np.array([0, n["clean"]]), prior)[1][0])) for c in range(1, 200)]
-    least = next((c for c, z in few if z >= least_z), 1)
-    rows = counts.filter(F.greatest(F.col("toxic") + F.col("clean"), F.lit(0)) >= least).withColumn("gap", F.abs(F.log((F.col("toxic") + 0.5) / n["toxic"]) - F.log((F.col("clean") + 0.5) / n["clean"]))).filter("gap > 0.2").collect()
+    # the rule's least count: that from which a token in no clean document has least_z
+    few = [(k, float(log_odds(k, 0, n["toxic"], n["clean"], prior)[1])) for k in range(1, 200)]
+    least = next((k for k, z in few if z >= least_z), 1)
+    z_of = lambda c: F.abs(log_odds(F.col("toxic").cast("double"), c.cast("double"), n["toxic"], n["clean"], prior, F)[1])
+    # one that counts only without one of its clean documents is needed below; z is worked out again there
+    rows = counts.filter(F.col("toxic") + F.col("clean") >= least).filter((z_of(F.col("clean")) >= least_z - 1e-6) | F.when((F.col("clean") > 0) & (F.col("toxic") + F.col("clean") > 1), z_of(F.col("clean") - 1) >= least_z - 1e-6).otherwise(False)).collect()
     if not rows:
         return none
     h, t, c = (np.array([r[k] for r in rows], np.int64) for k in ("h", "toxic", "clean"))
 
     def scores(c: np.ndarray, seen: np.ndarray) -> dict:
-        delta, z = log_odds(np.append(t, n["toxic"] - t.sum()), np.append(c, n["clean"] - c.sum()), prior)
-        use = np.flatnonzero((np.abs(z[:-1]) >= least_z) & seen)
+        delta, z = log_odds(t, c, n["toxic"], n["clean"], prior)
+        use = np.flatnonzero((np.abs(z) >= least_z) & seen)
         use = use[np.argsort(h[use].view(np.uint64))]
         return {"h": h[use].view(np.uint64), "score": delta[use] - drift, "use": use}
 
@@ -145,7 +146,7 @@ def passages(h: np.ndarray, model: dict, drift: float = DRIFT) -> list[tuple[int
 def toxic_passages(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, drift: float = DRIFT, **bounds: float) -> DataFrame:
     """docs (doc_id, text, ...) and labels (doc_id, toxic, ...) to (doc_id, start_token, end_token, score, p_value, n_passages, best_score, doc_p_value): every passage of each significant document, and what they come to together. Other documents have no row; no shuffle of docs.
 
-    A token scores its log-odds in toxic against clean documents (each document counts once) if its z is 3.5 or more either way, else 0, less drift (0 too if it repeats the token before it); a text's passages are all its maximal-scoring segments. In clean text of m tokens their number is about Poisson of mean k m and rate s exponential, with the rate by Karlin and Altschul over clean token shares (each token counted in one document more) and k the passages a token of clean documents, each scored without its own counts. So a passage's p_value is 1 - exp(-k m exp(-rate s)), and all passages of a document together have the p of a compound Poisson sum; doc_p_value is the lesser of that and the least p_value, without correction for the choice. A document with doc_p_value up to alpha is significant, however far apart its passages stand; p_value may then be over alpha.
+    A token scores its log-odds in toxic against clean documents (each document counts once) if its z is 3.5 or more either way and it is in at least as many documents of the sample as give a token of no clean document that z (a rarer one can have it with a few clean ones, but z is unreliable there), else 0, less drift (0 too if it repeats the token before it); a text's passages are all its maximal-scoring segments. In clean text of m tokens their number is about Poisson of mean k m and rate s exponential, with the rate by Karlin and Altschul over clean token shares (each token counted in one document more) and k the passages a token of clean documents, each scored without its own counts. So a passage's p_value is 1 - exp(-k m exp(-rate s)), and all passages of a document together have the p of a compound Poisson sum; doc_p_value is the lesser of that and the least p_value, without correction for the choice. A document with doc_p_value up to alpha is significant, however far apart its passages stand; p_value may then be over alpha.
 
     Texts that are null, empty or without letters give nothing; nor does any text if labels is empty or all of one kind. A document with both labels counts as toxic. Repeated rows of docs each give their passages; other columns don't matter. Whole texts are scanned."""
     model = train(docs, labels, drift=drift, **bounds)

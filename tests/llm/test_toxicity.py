@@ -97,3 +97,13 @@ def test_sum_p_value():
         assert T.sum_p_value(x, 3.0) == pytest.approx((s >= x).mean(), rel=0.1)
     assert T.sum_p_value(20.0, 1e-6) == pytest.approx(1e-6 * math.exp(-20), rel=1e-3)
     assert T.sum_p_value(1.0, 2.0) == 1 and 0 <= T.sum_p_value(5000.0, 40.0) < 1e-300
+
+
+def test_every_token_of_the_rule_counts(spark):
+    """Also one common in both classes, whose shares differ by less than a fifth."""
+    docs = [(k, "both " * (k % 2 == 0 or k % 20 < 17) + f"a{k % 7} " + ("rare " * (k in (0, 2)))) for k in range(12_000)]
+    labels = [(k, int(k % 2 == 0)) for k in range(12_000)]
+    # texts differ, as copies count once
+    model = T.train(*frames(spark, [(k, f"{t} only{k}") for k, t in docs], labels))
+    h = lambda w: T.tokens(w)[0] in model["h"]
+    assert h("both") and not h("rare") and not h("a1")
