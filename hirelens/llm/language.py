@@ -112,17 +112,20 @@ def phrases(texts: list[np.ndarray], tables: list[np.ndarray], width: int) -> np
 
 
 def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_chars: int = TRAIN_CHARS) -> dict:
-    """A parser for each language in docs.lang, from at most train_docs rows and train_chars characters of it: those of least hash of doc_id, of 100 to 20,000 characters. The bounds keep what goes to the workers at about 1 MB a language, and the tables they make of it at 20 MB."""
+    """A parser for each language in docs.lang, from at most train_docs rows and train_chars characters of it: those of least hash of doc_id, of 100 to 20,000 characters, and where a language has too few such, others (of longer ones the beginning). The bounds keep what goes to the workers at about 1 MB a language, and the tables they make of it at 20 MB."""
     usable = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang")).filter("lang is not null and doc_id is not null").withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)))
-    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    # of a language's texts those of 100 to 20,000 characters come first, others where it has too few; the bound on hashes is drawn from what each kind has
+    usable = usable.filter(F.length("text") > 0).withColumn("fits", F.length("text").between(100, TRAIN_LONGEST))
+    counts = {(r["lang"], r["fits"]): r["n"] for r in usable.groupBy("lang", "fits").agg(F.count("*").alias("n")).collect()}
+    counts = {k: n for k, n in counts.items() if k[1] or counts.get((k[0], True), 0) < train_docs}
     if not counts:
         return {"langs": [], "codes": fold(""), "edges": [], "width": 2, "sizes": []}
-    below = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int((1 << 32) * min(1.0, 4 * train_docs / n)))])
-    rows = usable.filter(F.col("h") < below[F.col("lang")]).filter(F.length("text").between(100, TRAIN_LONGEST)).collect()
+    below = F.create_map(*[F.lit(x) for (lang, fits), n in counts.items() for x in (f"{str(fits).lower()} {lang}", int((1 << 32) * min(1.0, 4 * train_docs / n)))])
+    rows = usable.filter(F.col("h") < below[F.concat_ws(" ", F.col("fits").cast("string"), "lang")]).withColumn("text", F.substring("text", 1, TRAIN_LONGEST)).collect()
     text: dict[str, str] = {}
-    for lang in sorted(counts):
-        own = sorted((r["h"], r["doc_id"], r["text"]) for r in rows if r["lang"] == lang)[:train_docs]
-        if got := " ".join(x[2] for x in own)[:train_chars].lower():
+    for lang in sorted({k[0] for k in counts}):
+        own = sorted((not r["fits"], r["h"], r["doc_id"], r["text"]) for r in rows if r["lang"] == lang)[:train_docs]
+        if got := " ".join(x[3] for x in own)[:train_chars].lower():
             text[lang] = got
     seen: dict[str, int] = {}
     for t in text.values():

@@ -71,3 +71,14 @@ def test_edges(spark):
     empty = docs.limit(0)
     assert L.identify(empty).count() == L.accepted_only(empty).count() == 0
     assert [r.accepted for r in L.identify(spark.createDataFrame([(1, "abc def", None)], "doc_id int, text string, lang string")).collect()] == [False]
+
+
+def test_languages_of_short_texts(spark):
+    """A language is trained on short texts where it has no others, and on all usable ones however many short ones it has."""
+    rng = random.Random(2)
+    short = [(k, prose(rng, "bb", 6)[:60], "bb") for k in range(1000, 1200)]
+    mixed = [(k, prose(rng, "aa", 60) if k % 50 == 0 else "ka", "aa") for k in range(2000, 4000)]
+    model = L.train(spark.createDataFrame(short + mixed, "doc_id bigint, text string, lang string"), train_docs=40)
+    assert model["langs"] == ["aa", "bb"] and min(model["sizes"]) > 1000
+    long = [len(t) for _, t, _ in mixed if len(t) >= 100]
+    assert model["sizes"][0] >= 0.9 * sum(long)
