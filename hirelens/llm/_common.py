@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,15 +29,38 @@ def shared_folder(spark: SparkSession) -> str:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="hirelens-checkpoint-")
         sc.setCheckpointDir(folder)
+        gone_at_end(spark, sc.getCheckpointDir())
     return sc.getCheckpointDir()
 
 
+def gone_at_end(spark: SparkSession, folder: str) -> None:
+    """Has the driver delete a folder of its own when it ends."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder, of which later reads take only the columns they need; deleted when the driver ends."""
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark)}/table-{uuid.uuid4()}"
+    df.write.parquet(folder)
+    gone_at_end(spark, folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared checkpoint folder, so that a lost executor takes nothing with it."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, with as many lines before it as it takes to clash with no column of df, in capitals or not."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = f"_{name}"
+    return name
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

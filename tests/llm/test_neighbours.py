@@ -22,7 +22,7 @@ def test_recall_of_all_queries(spark, kind):
     if kind == "clusters":
         x = x[:30].repeat(50, axis=0) + 0.2 * x
     want, s = brute(x, 10)
-    rows = neighbours(frame(spark, x), leaf=24).collect()
+    rows = neighbours(frame(spark, x), first=24).collect()
     got = {}
     for r in rows:
         got.setdefault(r.vec_id, set()).add(r.neighbour_id)
