@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hirelens.llm._common import durable, token_count
+from hirelens.llm._common import durable, token_count, unused
 
 #: Without given targets, a source's weight is its share of tokens to this power, so that small sources are raised.
 TEMPERATURE = 0.7
@@ -92,26 +92,29 @@ def rates(docs: DataFrame, targets: dict | None = None, margins: tuple[str, ...]
     return numbered.select(*by, F.exp(tilt).alias("rate"))
 
 
-def copies(docs: DataFrame, targets: dict | None = None, margins: tuple[str, ...] = (), total: float | None = None) -> DataFrame:
-    """docs with n_copies: its cell's rate, rounded up with the probability of its fraction, by a hash of doc_id (of text if that is null)."""
+def copies(docs: DataFrame, targets: dict | None = None, margins: tuple[str, ...] = (), total: float | None = None) -> tuple[DataFrame, str, str]:
+    """docs with two more columns, and their names, which no column of docs has: its cell's rate (0 if that has no tokens), and its copies, the rate rounded up with the probability of its fraction, by a hash of doc_id (of text if that is null). Rows alike in doc_id, source and margins have as many copies each."""
     by = ("source", *margins)
-    found = rates(docs, targets, margins, total).select(*[F.col(c).alias(f"mix_{c}") for c in by], F.col("rate").alias("mix_rate"))
-    same = [F.col(c).cast("string").eqNullSafe(F.col(f"mix_{c}")) for c in by]
+    cell, rate, many = {c: unused(docs, f"mix_{c}") for c in by}, unused(docs, "mix_rate"), unused(docs, "mix_copies")
+    found = rates(docs, targets, margins, total).select(*[F.col(c).alias(cell[c]) for c in by], F.col("rate").alias(rate))
+    same = [F.col(c).cast("string").eqNullSafe(F.col(cell[c])) for c in by]
     chance = F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("text", F.lit(7))).otherwise(F.xxhash64(F.col("doc_id").cast("bigint"), F.lit(7))), F.lit(1 << 30)) / F.lit(float(1 << 30))
     found = durable(found)
     if found.limit(BROADCAST_CELLS + 1).count() <= BROADCAST_CELLS:
         found = F.broadcast(found)
-    joined = docs.join(found, functools.reduce(lambda a, b: a & b, same), "left").withColumn("mix_rate", F.coalesce("mix_rate", F.lit(0.0)))
-    return joined.withColumn("mix_copies", (F.floor("mix_rate") + (chance < F.col("mix_rate") - F.floor("mix_rate")).cast("int")).cast("int")).drop(*[f"mix_{c}" for c in by])
+    joined = docs.join(found, functools.reduce(lambda a, b: a & b, same), "left").withColumn(rate, F.coalesce(rate, F.lit(0.0)))
+    return joined.withColumn(many, (F.floor(rate) + (chance < F.col(rate) - F.floor(rate)).cast("int")).cast("int")).drop(*cell.values()), rate, many
 
 
 def mix(docs: DataFrame, targets: dict | None = None, margins: tuple[str, ...] = (), total: float | None = None) -> DataFrame:
     """docs (doc_id, text, source, ...) to (doc_id, source, *margins, n_tokens, rate, copies), one row for each row of docs.
 
-    targets maps sources to weights (None: tokens to the power of TEMPERATURE); sources it lacks get rate 0, and those without tokens in docs are left out and their weight dealt to the rest. A null source is a source of its own. Texts that are null, empty or blank have no tokens: they weigh nothing and take their source's rate, or 0 if no text of their cell has tokens. Repeated rows count each, and round alike. An empty table gives an empty one. Margins that no rates can meet together with the targets are met as nearly as a slight ridge allows. Targets without a positive weight for any source with tokens raise ValueError."""
-    return copies(docs, targets, margins, total).select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", *margins, token_count("text").alias("n_tokens"), F.col("mix_rate").alias("rate"), F.col("mix_copies").alias("copies"))
+    targets maps sources to weights (None: tokens to the power of TEMPERATURE); sources it lacks get rate 0, and those without tokens in docs are left out and their weight dealt to the rest. A null source is a source of its own. Texts that are null, empty or blank have no tokens: they weigh nothing and take their source's rate, or 0 if no text of their cell has tokens. Repeated rows count each, and round alike. Columns may have any other names. An empty table gives an empty one. Margins that no rates can meet together with the targets are met as nearly as a slight ridge allows. Targets without a positive weight for any source with tokens raise ValueError."""
+    out, rate, many = copies(docs, targets, margins, total)
+    return out.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", *margins, token_count("text").alias("n_tokens"), F.col(rate).alias("rate"), F.col(many).alias("copies"))
 
 
 def mixed(docs: DataFrame, targets: dict | None = None, margins: tuple[str, ...] = (), total: float | None = None) -> DataFrame:
-    """docs with each row as often as mix says; columns as they are."""
-    return copies(docs, targets, margins, total).filter("mix_copies > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*docs.columns)
+    """docs with each row as often as mix says; columns as they are, whatever their names. Nulls, empty texts, repeated rows and empty tables as in mix: rows of rate 0 go."""
+    out, _, many = copies(docs, targets, margins, total)
+    return out.filter(F.col(many) > 0).withColumn(unused(out, "mix_copy"), F.explode(F.sequence(F.lit(1), F.col(many)))).select(*docs.columns)

@@ -70,3 +70,12 @@ def test_edges(spark):
     # two sources of one language each: the languages can't keep their shares, and it still settles
     apart = spark.createDataFrame([(1, "a b c", "x", "p"), (2, "a b c", "y", "q")], "doc_id int, text string, source string, lang string")
     assert M.mix(apart, {"x": 3, "y": 1}, ("lang",)).count() == 2
+
+
+def test_clashing_columns(spark):
+    names = ("mix_rate", "mix_source", "Mix_Copies", "mix_copy", "mix_lang", "n_tokens", "copies", "rate")
+    docs = spark.createDataFrame([(k, "w w w", "ab"[k % 2], "p", *[k + j for j in range(8)]) for k in range(100)], "doc_id int, text string, source string, lang string, " + ", ".join(f"{c} int" for c in names))
+    out = M.mixed(docs, {"a": 3, "b": 1}, ("lang",))
+    assert out.columns == docs.columns
+    assert all(tuple(r)[4:] == tuple(r.doc_id + j for j in range(8)) for r in out.collect())
+    assert M.mix(docs, {"a": 3, "b": 1}, ("lang",)).columns == ["doc_id", "source", "lang", "n_tokens", "rate", "copies"]
