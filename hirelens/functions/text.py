@@ -2,14 +2,14 @@
 """Scalar functions with the string, number and date rules of JavaScript, as native columns but for to_fixed1."""
 
 from collections.abc import Iterable
-from decimal import ROUND_HALF_UP, Decimal
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-BLANK = "[\\t-\\r \\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]"
+BLANK = "".join(map(chr, [*range(9, 14), 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]))
 
 
 def col(c: str | Column) -> Column:
@@ -58,7 +58,7 @@ def safe_job_title(title: str | Column, description: str | Column) -> Column:  #
 
 def trim(c: str | Column) -> Column:
     """without white space of any Unicode kind at either end."""
-    return F.regexp_replace(col(c), f"^{BLANK}+|{BLANK}+$", "")
+    return F.btrim(col(c), F.lit(BLANK))
 
 
 def utf16_length(c: str | Column) -> Column:
@@ -80,7 +80,11 @@ def quotient(c: str | Column, by: int) -> Column:  # F13
 
 
 def _fixed1(x: pd.Series) -> pd.Series:
-    return x.map(lambda v: None if pd.isna(v) else str(Decimal(v).quantize(Decimal("0.1"), ROUND_HALF_UP)))
+    v = x.to_numpy(np.float64, na_value=np.nan)
+    # formatting rounds the exact value, but ties, which are odd quarters, to even
+    quarters = np.rint(v * 4)
+    tie = (v * 4 == quarters) & (quarters % 2 != 0)
+    return pd.Series(np.char.mod("%.1f", np.where(tie, v + np.copysign(0.01, v), v)), dtype=object).where(~np.isnan(v), None)
 
 
 def to_fixed1(c: str | Column) -> Column:
@@ -131,9 +135,11 @@ def array_or_empty(c: str | Column) -> Column:  # F23
     return F.coalesce(col(c), F.array().cast("array<string>"))
 
 
-def overlay(old: Column, new: Column, fields: Iterable[str]) -> Column:
-    """a struct of new's fields; those that new has win even if null."""
-    return F.struct(*[new[f].alias(f) for f in fields]) if new is not None else old
+def overlay(old: Column, new: Column, old_fields: Iterable[str], new_fields: Iterable[str]) -> Column:
+    """a struct of old with new's fields laid over it, null ones too; what only old has stays. Where there is no new, old as it is."""
+    over = list(new_fields)
+    kept = [f for f in old_fields if f not in over]
+    return F.struct(*[old[f].alias(f) for f in kept], *[F.when(new.isNotNull(), new[f]).otherwise(old[f]).alias(f) for f in over])
 
 
 def counted(n: str | Column, noun: str) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,9 +45,16 @@ def in_order(candidates: DataFrame) -> DataFrame:
 
 
 def ranked(candidates: DataFrame, by: str | None = None) -> DataFrame:
-    """O1 and O6 as a column: the rank in each group. Without a group all rows must come to one task; in_order sorts by range instead."""
-    w = Window.partitionBy(*([by] if by else [])).orderBy(F.coalesce("score", F.lit(-1.0)).desc(), F.col("pos").asc())
-    return candidates.withColumn("rank", F.row_number().over(w).cast("bigint"))
+    """O1 and O6 as a column: the rank in each group, or in all.
+
+    Ranks are counted inside each whole score of a group, and start after all that are higher, which a small table has; so no group, however large, comes to one task unless all its scores are alike."""
+    group, score = [by] if by else [], F.coalesce("score", F.lit(-1.0))
+    rows = candidates.withColumn("_whole", F.floor(score))
+    higher = F.sum("_n").over(Window.partitionBy(*group).orderBy(F.desc("_whole")).rowsBetween(Window.unboundedPreceding, -1))
+    start = rows.groupBy(*group, "_whole").agg(F.count("*").alias("_n")).select(*[F.col(c).alias(f"_{c}") for c in group], F.col("_whole").alias("_of"), F.coalesce(higher, F.lit(0)).alias("_higher"))
+    own = F.row_number().over(Window.partitionBy(*group, "_whole").orderBy(score.desc(), F.col("pos").asc()))
+    same = functools.reduce(lambda a, c: a & F.col(c).eqNullSafe(F.col(f"_{c}")), group, F.col("_whole") == F.col("_of"))
+    return rows.withColumn("_own", own).join(start, same).select(*candidates.columns, (F.col("_own") + F.col("_higher")).cast("bigint").alias("rank"))
 
 
 def top_candidates(candidates: DataFrame, n: int = 5, above: float = 75) -> DataFrame:  # O2

@@ -2,48 +2,63 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hirelens.functions.skills import final_score, terms
 
-#: Terms of job descriptions up to this number are sent to every executor; beyond it they are joined by a shuffle.
+#: Rows of a table of terms up to which it is sent to every executor; beyond it, it is joined by a shuffle.
 BROADCAST_TERMS = 1_000_000
 
 
 def term_counts(docs: DataFrame, id_: str, text: str) -> DataFrame:
-    return docs.select(F.col(id_).alias("id"), F.explode(terms(text)).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    """(id, term, tf), counted inside each row: its tokens sorted, and the length of each run. No shuffle; rows that share an id count each."""
+    runs = docs.select(F.col(id_).alias("id"), F.array_sort(terms(text)).alias("sorted")).withColumn("at", F.filter(F.sequence(F.lit(1), F.size("sorted")), lambda k: (k == 1) | (F.get("sorted", k - 1) != F.get("sorted", k - 2)))).filter("size(sorted) > 0")
+    return runs.select("id", "sorted", F.explode(F.zip_with("at", F.concat(F.slice("at", 2, F.size("sorted")), F.array(F.size("sorted") + 1)), lambda a, b: F.struct(F.get("sorted", a - 1).alias("term"), (b - a).cast("bigint").alias("tf")))).alias("x")).select("id", "x.term", "x.tf")
 
 
-def idf(n, df):  # noqa: ANN001, ANN201
+def idf(n: Column, df: Column) -> Column:
     """Smooth inverse document frequency; df null for a term that no document has."""
     return F.log((n + 1.0) / (F.coalesce(df, F.lit(0)) + 1.0)) + 1.0
 
 
+def small(table: DataFrame) -> DataFrame:
+    """A table of one row a term, kept, and marked to be sent everywhere if its size allows."""
+    table = table.persist()
+    return F.broadcast(table) if table.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else table
+
+
+def document_frequencies(tf: DataFrame, n: int) -> DataFrame:
+    """(term, df, idf): counts are summed up in each partition before they are shuffled."""
+    return tf.groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", idf(F.lit(n), F.col("df")))
+
+
 def tfidf_weights(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, term, tf, df, weight). Counts go over the wire once by document and term; the documents' number is a count that reads no text."""
+    """(id, term, tf, df, weight). Of documents nothing is shuffled but each partition's count of each term, unless there are more terms than can be sent everywhere."""
     tf = term_counts(docs, id_, text)
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    n = docs.select(F.count("*").alias("n"))
-    return tf.join(df, "term").crossJoin(F.broadcast(n)).select("id", "term", "tf", "df", (F.col("tf") * idf(F.col("n"), F.col("df"))).alias("weight"))
+    return tf.join(small(document_frequencies(tf, docs.count())), "term").select("id", "term", "tf", "df", (F.col("tf") * F.col("idf")).alias("weight"))
 
 
 def tfidf_scores(docs: DataFrame, jobs: DataFrame, doc_id: str = "doc_id", job_id: str = "item_id") -> DataFrame:
-    """(id, job, score), the cosine of each document with each job that it shares a term with. Weights count documents only."""
-    w = tfidf_weights(docs, doc_id)
-    terms_ = term_counts(jobs, job_id, "text").withColumnRenamed("id", "job")
-    many = terms_.limit(BROADCAST_TERMS + 1).count() > BROADCAST_TERMS
-    small = terms_ if many else F.broadcast(terms_)
-    n = docs.select(F.count("*").alias("n"))
-    df = w.select("term", "df").distinct() if many else docs.select(F.explode(F.array_distinct(terms("text"))).alias("term")).join(F.broadcast(terms_.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    jw = (terms_ if many else small).join(df, "term", "left").crossJoin(F.broadcast(n)).select("job", "term", (F.col("tf") * idf(F.col("n"), F.col("df"))).alias("jw"))
+    """(id, job, score), the cosine of each document with each job that it shares a term with. Weights count documents only.
+
+    The frequencies meet the documents where these are read. A document's squares and its products with each job are sums that partitions make before they are shuffled, so one row a document and job moves, however long the text."""
+    n = docs.count()
+    tf = term_counts(docs, doc_id, "text")
+    df = document_frequencies(tf, n).persist()
+    jw = term_counts(jobs, job_id, "text").withColumnRenamed("id", "job").join(df, "term", "left").select("job", "term", (F.col("tf") * idf(F.lit(n), F.col("df"))).alias("jw")).persist()
     jn = jw.groupBy("job").agg(F.sqrt(F.sum(F.col("jw") * F.col("jw"))).alias("job_norm"))
-    by_term = jw.groupBy("term").agg(F.collect_list(F.struct("job", "jw")).alias("jobs"))
-    # one pass by document gives both its norm and its products, so the weights are made once
-    joined = w.join(by_term if many else F.broadcast(by_term), "term", "left")
-    per_doc = joined.groupBy("id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"), F.flatten(F.collect_list(F.transform("jobs", lambda j: F.struct(j.job.alias("job"), (j.jw * F.col("weight")).alias("p"))))).alias("p"))
-    dot = per_doc.select("id", "norm", F.explode("p").alias("x")).groupBy("id", "x.job").agg(F.sum("x.p").alias("dot"), F.first("norm").alias("norm"))
-    return dot.join(F.broadcast(jn) if not many else jn, "job").select("id", "job", F.round(F.col("dot") / (F.col("norm") * F.col("job_norm")), 6).alias("score"))
+    if jw.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
+        # a null job takes the document's own square, so that one pass makes both
+        own = F.struct(F.lit(None).cast(jobs.schema[job_id].dataType).alias("job"), F.lit(0.0).alias("jw"))
+        at = df.join(F.broadcast(jw.groupBy("term").agg(F.collect_list(F.struct("job", "jw")).alias("of"))), "term", "left").select("term", "idf", F.concat(F.array(own), F.coalesce("of", F.array().cast("array<struct<job: " + jobs.schema[job_id].dataType.simpleString() + ", jw: double>>"))).alias("of"))
+        part = tf.join(small(at), "term").select("id", (F.col("tf") * F.col("idf")).alias("w"), F.explode("of").alias("o")).select("id", "o.job", F.when(F.col("o.job").isNull(), F.col("w") * F.col("w")).otherwise(F.col("w") * F.col("o.jw")).alias("p"))
+    else:
+        w = tf.join(small(df), "term").select("id", "term", (F.col("tf") * F.col("idf")).alias("w"))
+        part = w.select("id", F.lit(None).cast(jobs.schema[job_id].dataType).alias("job"), (F.col("w") * F.col("w")).alias("p")).unionByName(w.join(jw, "term").select("id", "job", (F.col("w") * F.col("jw")).alias("p")))
+    sums = part.groupBy("id", "job").agg(F.sum("p").alias("p"))
+    norms, dots = sums.filter("job is null").select("id", F.sqrt("p").alias("norm")), sums.filter("job is not null")
+    return dots.join(norms, "id").join(F.broadcast(jn) if jn.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else jn, "job").select("id", "job", F.round(F.col("p") / (F.col("norm") * F.col("job_norm")), 6).alias("score"))
 
 
 def match_results(scores: DataFrame, weights: tuple[float, float, float] = (0.4, 0.4, 0.2)) -> DataFrame:

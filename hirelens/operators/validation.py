@@ -2,29 +2,41 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hirelens.functions.text import byte_length, col, starts_with, trim
+from hirelens.functions.text import array_or_empty, byte_length, col, starts_with, trim
 
 MOST_BYTES = 10 * 1024 * 1024
 LEAST_JOB, MOST_JOB, LEAST_MATCH = 50, 10_000, 10
 
 
+def _absent(c: str | Column) -> Column:
+    return F.coalesce(col(c), F.lit("")) == ""
+
+
 def job_error(text: str | Column) -> Column:
     """V1: what is wrong with a job description, null if nothing is; lengths count after trimming."""
     n = F.length(trim(text))
-    return F.when(F.coalesce(col(text), F.lit("")) == "", "Job description is required").when(n < LEAST_JOB, "Job description is too short").when(n > MOST_JOB, "Job description is too long")
+    return F.when(_absent(text), "Job description is required and must be a string").when(n < LEAST_JOB, f"Job description must be at least {LEAST_JOB} characters long").when(n > MOST_JOB, f"Job description must not exceed {MOST_JOB:,} characters")
 
 
 def uri_error(uri: str | Column) -> Column:
     """V2: the limit is on the URI's bytes, not the file's."""
-    return F.when(F.coalesce(col(uri), F.lit("")) == "", "Resume data URI is required").when(~starts_with(uri, "data:"), "Resume data URI is malformed").when(byte_length(uri) > MOST_BYTES, "Resume file is too large")
+    return F.when(_absent(uri), "Resume data URI is required and must be a string").when(~starts_with(uri, "data:"), "Invalid resume data format").when(byte_length(uri) > MOST_BYTES, f"Resume file is too large. Maximum size is {MOST_BYTES >> 20}MB")
+
+
+def match_error(resume: str | Column, job: str | Column) -> Column:
+    """V3: of a request with several faults the first."""
+    short = lambda c: F.length(trim(c)) < LEAST_MATCH
+    return F.when(_absent(resume), "Resume text is required and must be a string").when(_absent(job), "Job description text is required and must be a string").when(short(resume), "Resume content is too short").when(short(job), "Job description content is too short")
 
 
-def match_error(resume: str | Column, job: str | Column) -> Column:  # V3
-    missing = lambda c: F.coalesce(col(c), F.lit("")) == ""
-    return F.when(missing(resume) | missing(job), "Resume and job description are required").when(F.length(trim(resume)) < LEAST_MATCH, "Resume text is too short").when(F.length(trim(job)) < LEAST_MATCH, "Job description is too short")
+def match_input(resume: str | Column, job: str | Column, criteria: str | Column) -> Column:
+    """V3: what goes on to the model: both texts trimmed, criteria that are absent as none."""
+    return F.struct(trim(resume).alias("resumeText"), trim(job).alias("jobDescriptionText"), array_or_empty(criteria).alias("hiringCriteria"))
 
 
 def matchable(status: str | Column, description: str | Column) -> Column:
@@ -37,10 +49,20 @@ def login_error(mode: str | Column, email: str | Column, password: str | Column,
     return F.when(blank(email) | blank(password), "Email and password are required").when((col(mode) == "signup") & (blank(first) | blank(last)), "First and last name are required")
 
 
+#: What a failed operation's message begins with.
+FAILED = {"analyze": "Failed to analyze job description: ", "extract": "Failed to extract resume information: ", "match": "Failed to calculate match score: "}
+
+
+def failed(operation: str, message: str | Column) -> Column:
+    """V8: the error of an operation that broke, null if message is null."""
+    return F.concat(F.lit(FAILED[operation]), col(message))
+
+
 def envelope(error: str | Column, data: str | Column) -> Column:
-    """{success, data} or {error}, and the status that goes with it."""
+    """{success, data} or {error}, and the status that goes with it: 400 for a bad request, 500 for an operation that broke."""
     e = col(error)
-    return F.struct(F.when(e.isNull(), True).alias("success"), F.when(e.isNull(), col(data)).alias("data"), e.alias("error"), F.when(e.isNull(), 200).when(F.startswith(e, F.lit("Failed to ")), 500).otherwise(400).alias("status"))
+    broke = functools.reduce(lambda a, b: a | b, [F.startswith(e, F.lit(x)) for x in FAILED.values()])
+    return F.struct(F.when(e.isNull(), True).alias("success"), F.when(e.isNull(), col(data)).alias("data"), e.alias("error"), F.when(e.isNull(), 200).when(broke, 500).otherwise(400).alias("status"))
 
 
 def next_status(status: str | Column, event: str | Column) -> Column:

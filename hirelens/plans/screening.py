@@ -39,7 +39,7 @@ JOBS = f"jtf AS (SELECT item_id AS job, term, count(*) AS tf FROM (SELECT item_i
 
 @query(f"WITH {TF}, {JOBS} SELECT id AS doc_id, score FROM scores WHERE job = 0 ORDER BY score DESC, doc_id LIMIT 20")
 def rank_candidates_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 20 documents nearest to the first job."""
+    """The 20 documents nearest to the first job."""
     scores = scoring.tfidf_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").filter("item_id = 0"))
     return scores.select(F.col("id").alias("doc_id"), "score").orderBy(F.desc("score"), "doc_id").limit(20)
 
@@ -128,10 +128,10 @@ def candidate_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.ranked(candidates(spark, sf_dir), "name").select("pos", "name", "score", "rank")
 
 
-@query(f"WITH {CANDIDATES} SELECT pos, coalesce(score, -1) AS score FROM candidates")
+@query(f"WITH {CANDIDATES} SELECT pos, coalesce(score, -1) AS score, row_number() OVER (ORDER BY coalesce(score, -1) DESC, pos) AS rank FROM candidates")
 def candidates_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O1 over all, by a range-partitioned sort."""
-    return ranking.in_order(candidates(spark, sf_dir)).select("pos", F.coalesce("score", F.lit(-1.0)).alias("score"))
+    """O1 over all: the range-partitioned sort, and each one's place."""
+    return ranking.in_order(ranking.ranked(candidates(spark, sf_dir))).select("pos", F.coalesce("score", F.lit(-1.0)).alias("score"), "rank")
 
 
 def exported(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,13 +147,6 @@ def export_csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exports.csv_rows(exported(spark, sf_dir))
 
 
-@query()
-def export_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S10 over one source's candidates, a session of usual size being a few."""
-    job = spark.createDataFrame([("Engineer", "Builds things", ["red"], "completed")], "title string, description string, keySkills array<string>, status string")
-    return exports.export_json(job, exported(spark, sf_dir), "2024-01-31T00:00:00.000Z")
-
-
 @query(f"""WITH {CANDIDATES} SELECT pos, concat_ws(chr(10), '', 'CANDIDATE ANALYSIS REPORT', repeat('=', 40), '', 'Name: ' || name, 'Current Position: Title, ' || lang, 'Resume File: ' || name || '.pdf', '', 'MATCH SCORE: ' || CASE WHEN coalesce(score, 0) = 0 THEN 'N/A' ELSE printf('%.1f', score) || '%' END, '', 'SKILLS:', '  • ' || lang, '  • a "b", c', '', 'MISSING SKILLS:', '  No missing skills', '', 'STRATEGIC ASSESSMENT:', CASE WHEN score IS NULL THEN 'No assessment available' ELSE 'line' || chr(10) || 'break' END, '', repeat('=', 40), 'Generated: 1/31/2024, 12:00:00 AM', '') AS report FROM candidates""")
 def report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exported(spark, sf_dir).select("pos", exports.report("1/31/2024, 12:00:00 AM").alias("report"))
@@ -198,7 +191,7 @@ def snapshot_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id, user_id FROM events WHERE event_type = 'error'")
 def dead_letter_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ST4, R5: an emitter's listener writes the error events of each batch."""
+    """ST4: an emitter's listener writes the error events of each batch."""
     folder, emitter = shared(spark), logs.Emitter()
     emitter.on("error", lambda batch, n: batch.select("event_id", "user_id").write.mode("overwrite").parquet(f"{folder}/errors/batch={n}"))
     logs.run_once(logs.events(spark, f"{sf_dir}/events.parquet"), f"{folder}/checkpoint", lambda batch, n: emitter.emit(batch, n, "event_type"))
@@ -222,7 +215,7 @@ def history_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT CAST(user_id AS VARCHAR) AS user_email, count_if(event_type = 'purchase')::BIGINT AS completed, count(*) AS total, CAST(floor(round(avg(CASE WHEN event_type = 'purchase' THEN value END), 6) + 0.5) AS BIGINT) AS avg_score, count(*) || ' candidate' || CASE WHEN count(*) = 1 THEN '' ELSE 's' END AS label FROM events GROUP BY user_id")
 def history_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A4, A7, F25 with each user's events as a session's candidates."""
+    """totals of each user's events."""
     done = F.col("event_type") == "purchase"
     return table(spark, sf_dir, "events").groupBy(F.col("user_id").cast("string").alias("user_email")).agg(F.count_if(done).alias("completed"), F.count("*").alias("total"), T.rounded(F.round(F.avg(F.when(done, F.col("value"))), 6)).alias("avg_score"), T.counted(F.count("*"), "candidate").alias("label"))
 
@@ -243,17 +236,19 @@ RE2 = "[\\t-\\r \\x{00a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}
 TRIM = f"regexp_replace(text, '^{RE2}+|{RE2}+$', '', 'g')"
 
 
-@query(f"SELECT doc_id, CASE WHEN text = '' THEN 'Job description is required' WHEN length({TRIM}) < 50 THEN 'Job description is too short' WHEN length({TRIM}) > 10000 THEN 'Job description is too long' END AS error, CASE WHEN text = '' THEN 'Resume and job description are required' WHEN length({TRIM}) < 10 THEN 'Resume text is too short' WHEN length(trim(source)) < 10 THEN 'Job description is too short' END AS match_error, length(text) > 50 AS matchable FROM documents")
+@query(f"WITH t AS (SELECT doc_id, text, source, {TRIM} AS trimmed FROM documents) SELECT doc_id, CASE WHEN text = '' THEN 'Job description is required and must be a string' WHEN length(trimmed) < 50 THEN 'Job description must be at least 50 characters long' WHEN length(trimmed) > 10000 THEN 'Job description must not exceed 10,000 characters' END AS error, CASE WHEN text = '' THEN 'Resume text is required and must be a string' WHEN length(trimmed) < 10 THEN 'Resume content is too short' WHEN length(trim(source)) < 10 THEN 'Job description content is too short' END AS match_error, length(text) > 50 AS matchable, trimmed AS \"jobDescription\" FROM t")
 def validate_job(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V1, V3, V4."""
-    return table(spark, sf_dir, "documents").select("doc_id", validation.job_error("text").alias("error"), validation.match_error("text", "source").alias("match_error"), validation.matchable(F.lit("idle"), "text").alias("matchable"))
+    """V1, V3, V4, and the trimmed input that goes on."""
+    return table(spark, sf_dir, "documents").select("doc_id", validation.job_error("text").alias("error"), validation.match_error("text", "source").alias("match_error"), validation.matchable(F.lit("idle"), "text").alias("matchable"), T.trim("text").alias("jobDescription"))
 
 
-@query("SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'Resume data URI is malformed' END AS error, strlen(html) AS bytes FROM pages")
+@query("SELECT page_id, CASE WHEN page_id = 0 THEN 'Resume data URI is required and must be a string' WHEN page_id = 2 THEN 'Resume file is too large. Maximum size is 10MB' WHEN page_id % 5 = 0 THEN 'Invalid resume data format' END AS error, CASE WHEN page_id >= 3 THEN strlen(html) END AS bytes FROM pages")
 def validate_data_uri(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V2, S2, F11; every fifth page without its scheme. The page comes back out of the URI."""
-    uri = F.when(F.col("page_id") % 5 == 0, F.col("html")).otherwise(files.data_uri(F.lit("page.pdf"), F.encode("html", "UTF-8")))
-    return table(spark, sf_dir, "pages").withColumn("uri", uri).select("page_id", validation.uri_error("uri").alias("error"), F.when(F.col("page_id") % 5 == 0, F.octet_length("html")).otherwise(F.octet_length(files.from_data_uri("uri"))).cast("bigint").alias("bytes"))
+    """Every fifth page without its scheme, one without a URI, one of exactly 10 MB and one of a byte more. The page comes back out of the URI."""
+    k = F.col("page_id")
+    big = F.concat(F.lit("data:"), F.repeat(F.lit("x"), validation.MOST_BYTES - 5))
+    uri = F.when(k == 0, "").when(k == 1, big).when(k == 2, F.concat(big, F.lit("x"))).when(k % 5 == 0, F.col("html")).otherwise(files.data_uri(F.lit("page.pdf"), F.encode("html", "UTF-8")))
+    return table(spark, sf_dir, "pages").withColumn("uri", uri).select("page_id", validation.uri_error("uri").alias("error"), F.when(k >= 3, F.when(k % 5 == 0, F.octet_length("html")).otherwise(F.octet_length(files.from_data_uri("uri")))).cast("bigint").alias("bytes"))
 
 
 @query("WITH f AS (SELECT source AS name, min(doc_id) AS pos FROM documents WHERE lang = 'en' GROUP BY 1) SELECT d.doc_id, f.pos AS file_pos FROM documents d JOIN f ON f.name = d.source WHERE d.n_chars % 3 = 0")
@@ -266,7 +261,7 @@ def reprocess_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT CASE WHEN doc_id % 2 = 0 THEN 'tp-' || doc_id || '-1' ELSE CAST(doc_id AS VARCHAR) END AS id, CAST(CASE WHEN doc_id % 3 <> 0 THEN n_chars END AS BIGINT) AS size FROM documents")
 def blob_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every third blob deleted."""
+    """Every third blob deleted."""
     d = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
     blobs = files.delete(d.select(F.col("doc_id").cast("string").alias("id"), F.col("n_chars").alias("file")), d.filter("doc_id % 3 = 0").select(F.col("doc_id").cast("string").alias("id")))
     p = d.select(F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("tp-"), F.col("doc_id").cast("string"), F.lit("-1"))).otherwise(F.col("doc_id").cast("string")).alias("id"))
@@ -296,7 +291,7 @@ def requirement_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH s AS (SELECT p_brand AS category, lower(unnest(string_split(p_name, ' '))) AS name FROM part) SELECT category, count(DISTINCT name) AS skills FROM s GROUP BY 1")
 def skill_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A13, J5."""
+    """A13."""
     return requirements.by_category(table(spark, sf_dir, "part").select(F.col("p_brand").alias("category"), F.explode(F.split("p_name", " ")).alias("name")))
 
 
@@ -341,7 +336,7 @@ def job_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return postings.with_counts(postings.postings(form), matches).select("id", "title", "candidateCount")
 
 
-@query("WITH a AS (SELECT item_id, text FROM benchmark) SELECT item_id, concat(CASE WHEN item_id % 2 = 0 THEN '' ELSE 'Hiring criteria:' || chr(10) || '- one' || chr(10) || '- ' || item_id END) AS block FROM a")
+@query("WITH a AS (SELECT item_id, text FROM benchmark) SELECT item_id, concat(CASE WHEN item_id % 2 = 0 THEN '' ELSE 'Additional Specific Hiring Criteria to prioritize (if applicable):' || chr(10) || '- one' || chr(10) || '- ' || item_id || chr(10) END) AS block FROM a")
 def criteria_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X6."""
     b = table(spark, sf_dir, "benchmark").select("item_id", F.when(F.col("item_id") % 2 != 0, F.array(F.lit("one"), F.col("item_id").cast("string"))).alias("criteria"))
@@ -363,7 +358,7 @@ def clean_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT conv_id, turn, role, length(text) AS n FROM conversations UNION ALL SELECT -1, NULL, NULL, NULL WHERE false")
 def unnested_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each conversation to one JSON document and back, its messages in order."""
+    """Each conversation to one JSON document and back, its messages in order."""
     from hirelens.sources.documents import dump_json
 
     c = table(spark, sf_dir, "conversations")

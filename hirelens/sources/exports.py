@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,13 +52,15 @@ def json_candidates(candidates: DataFrame) -> DataFrame:
 
 
 def export_json(job: DataFrame, candidates: DataFrame, when: str) -> DataFrame:
-    """One document: date, job, candidates, summary. It is one value, so as large as the session it exports."""
-    listed = json_candidates(candidates).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "candidate"))), lambda x: x.candidate).alias("candidates"))
+    """(pos, line), the lines of one JSON document in order: date and job, one line for each candidate, summary. Write the line column as text; no task holds the whole."""
+    last, one = candidates.agg(F.max("pos").alias("last")), json_candidates(candidates)
     top = candidates.filter(F.col("matchResults.matchScore") > 75).orderBy(F.col("matchResults.matchScore").desc(), "pos").limit(5)
     top = top.agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("matchResults.matchScore")).alias("k"), "pos", F.struct(*[c for c in candidates.columns if c != "pos"]).alias("c")))), lambda x: x.c).alias("topCandidates"))
-    summary = export_summary(candidates.select("pos", F.col("matchResults.matchScore").alias("score")))
-    one = job.limit(1).select(F.struct("*").alias("jobAnalysis")).crossJoin(listed).crossJoin(summary).crossJoin(top)
-    return one.select(F.to_json(F.struct(F.lit(when).alias("exportDate"), "jobAnalysis", "candidates", F.struct("totalCandidates", "averageMatchScore", "topCandidates").alias("summary"))).alias("json"))
+    summary = export_summary(candidates.select("pos", F.col("matchResults.matchScore").alias("score"))).crossJoin(top)
+    head = job.limit(1).select(F.lit(-1).cast("bigint").alias("pos"), F.concat(F.lit(f'{{"exportDate":{json.dumps(when)},"jobAnalysis":'), F.to_json(F.struct("*")), F.lit(',"candidates":[')).alias("line"))
+    body = one.crossJoin(F.broadcast(last)).select(F.col("pos").cast("bigint").alias("pos"), F.concat(F.to_json("candidate"), F.when(F.col("pos") < F.col("last"), ",").otherwise("")).alias("line"))
+    tail = summary.select(F.lit((1 << 63) - 1).cast("bigint").alias("pos"), F.concat(F.lit('],"summary":'), F.to_json(F.struct("totalCandidates", "averageMatchScore", "topCandidates")), F.lit("}")).alias("line"))
+    return head.unionByName(body).unionByName(tail).orderBy("pos")
 
 
 def report(when: str) -> Column:

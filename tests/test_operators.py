@@ -105,7 +105,9 @@ def test_exports(spark):
     assert cells[1] == ["Ann", "completed", "0.0", "Lead", "a,b; c", "", "why", "ann.pdf"]
     assert cells[2] == ["N/A", "idle", "N/A", "N/A", "N/A", "N/A", "N/A", "bob.pdf"]
     assert cells[3] == ['C "x"', "completed", "91.3", "N/A", "", "z", "N/A", "c.pdf"]
-    doc = json.loads(exports.export_json(job, candidates(spark), "now").first().json)
+    doc = json.loads("\n".join(r.line for r in exports.export_json(job, candidates(spark), "now").collect()))
+    assert doc["exportDate"] == "now" and doc["jobAnalysis"]["title"] == "T"
+    assert json.loads("".join(r.line for r in exports.export_json(job, candidates(spark).limit(0), "now").collect()))["candidates"] == []
     assert [c["id"] for c in doc["candidates"]] == ["i0", "i1", "i2"] and "matchScore" not in doc["candidates"][1]
     assert doc["summary"]["totalCandidates"] == 3 and doc["summary"]["averageMatchScore"] == pytest.approx(30.42) and [c["id"] for c in doc["summary"]["topCandidates"]] == ["i2"]
     texts = [r.x for r in candidates(spark).select("pos", exports.report("now").alias("x")).orderBy("pos").collect()]
@@ -125,7 +127,8 @@ def test_validation(spark):
     assert [error(validation.matchable(F.lit("idle"), F.lit("x" * n))) for n in (50, 51)] == [False, True]
     assert error(validation.login_error(F.lit("signup"), F.lit("e"), F.lit("p"), F.lit(""), F.lit("l"))) and error(validation.login_error(F.lit("login"), F.lit("e"), F.lit("p"), F.lit(""), F.lit(""))) is None
     assert error(validation.envelope(F.lit(None).cast("string"), F.lit("d"))).asDict() == {"success": True, "data": "d", "error": None, "status": 200}
-    assert error(validation.envelope(F.lit("Failed to do"), F.lit("d"))).status == 500
+    assert error(validation.envelope(validation.failed("extract", F.lit("down")), F.lit("d"))).asDict() == {"success": None, "data": None, "error": "Failed to extract resume information: down", "status": 500}
+    assert error(validation.envelope(F.lit("Resume content is too short"), F.lit("d"))).status == 400
     steps = [("idle", "start", "processing"), ("processing", "succeed", "completed"), ("processing", "fail", "error"), ("completed", "edit", "idle"), ("idle", "succeed", "idle"), ("idle", "analyze", "analyzing")]
     assert [error(validation.next_status(F.lit(s), F.lit(e))) for s, e, _ in steps] == [x for *_, x in steps]
 
@@ -162,7 +165,7 @@ def test_backends(spark):
         return call
 
     rows = backends.call_model(df, "text", "req", schemas.JOB_REQUIREMENTS, backend, ["m"], sleep=lambda s: None).collect()
-    assert rows[0].req.keySkills == ["ok"] and rows[0].error is None and rows[1].req is None and rows[1].error == "Failed to process: no"
+    assert rows[0].req.keySkills == ["ok"] and rows[0].error is None and rows[1].req is None and rows[1].error == "Failed to calculate match score: no"
     m = spark.range(1).select(backends.lexical_match(F.array(F.lit("SQL")), F.array(F.lit("sql"), F.lit("git"))).alias("m")).first().m
     assert m.matchScore == 50 and m.matchedSkills == ["sql"] and m.missingSkills == ["git"]
     assert spark.range(1).select(backends.checked(F.struct(F.lit(101.0).alias("matchScore"))).alias("x")).first().x is None

@@ -2,7 +2,7 @@
 
 import pytest
 
-from hirelens.plans import screening
+from hirelens.plans import records, screening  # noqa: F401
 from tests.check_parity import compare, connect
 
 SF = "/root/testdata/sf0.001"
@@ -15,4 +15,4 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(screening.QUERIES))
 def test_query(spark, con, name):
-    assert compare(spark, con, name, screening.QUERIES[name], screening.SQL.get(name), SF) is None
+    assert compare(spark, con, name, screening.QUERIES[name], screening.SQL[name], SF) is None
