@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import pytest
+import regex
 
 from hirelens.llm import licenses as L
 
@@ -22,6 +23,9 @@ def brute(docs, least=L.LEAST):
             elif run:
                 passages.append((doc, " ".join(run)))
                 run = []
+        for p in regex.split(L.GAP, text or ""):
+            if re.search(L.CUE, p) and not all(re.search(L.CUE, x) for x in re.split(r"\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]", p)):
+                passages.append((doc, p))
     df, n = Counter(t for _, p in passages for t in set(words(p))), len(passages)
     vector = lambda p: {t: c * (math.log((n + 1) / (df[t] + 1)) + 1) for t, c in Counter(words(p)).items()}
     best = {}
@@ -72,3 +76,60 @@ def test_edges(spark):
     got = {r.doc_id: (r.licence, r.origin, r.from_dir) for r in L.scan(spark.createDataFrame(rows, schema)).collect()}
     assert got == {1: ("Proprietary", "notice", None), 2: ("Proprietary", "inherited", ""), 3: (None, "none", None), 4: ("Proprietary", "inherited", ""), 5: ("Proprietary", "inherited", "")}
     assert L.scan(spark.createDataFrame([(1, "a/b", "none"), (2, "a/c", None)], schema)).count() == 2
+
+
+AS_IS = "\n\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR\nIMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY.\n"
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:"""
+BSD = """Copyright (c) 2020, Somebody
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+"""
+HEADER = """/*
+ * Copyright 2001 Somebody
+ *
+ * This {what} is free software{a} you can redistribute it and/or modify
+ * it under the terms of the GNU {name} as published by
+ * the Free Software Foundation{b} either version {version} of the License, or
+ * (at your option) any later version.
+ *
+ * This {what} is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY.
+ */
+int main() { return 0; }
+"""
+
+
+def header(**x):
+    out = HEADER
+    for k, v in x.items():
+        out = out.replace("{" + k + "}", v)
+    return out
+
+
+FILES = {
+    "MIT": f"The MIT License (MIT)\n\nCopyright (c) 2020 Somebody\n\n{MIT}\n\nThe above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.{AS_IS}",
+    "BSD-3-Clause": BSD + "\n3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission." + AS_IS,
+    "BSD-2-Clause": "BSD 2-Clause License\n\n" + BSD + AS_IS,
+    "Apache-2.0": "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n\n   1. Definitions.\n",
+    "GPL-2.0": header(what="program", a=";", b=";", name="General Public License", version="2"),
+    "GPL-3.0": "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc.\n Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed.\n",
+    "LGPL-2.1": header(what="library", a=";", b=";", name="Lesser General Public License", version="2.1"),
+    "AGPL-3.0": header(what="program", a=":", b=",", name="Affero General Public License", version="3"),
+}
+
+
+def test_licence_files(spark):
+    """The usual wording, wrapped, commented and in paragraphs; the rest of a directory inherits from a file named LICENSE."""
+    rows = [(k, f"{name}/LICENSE", text) for k, (name, text) in enumerate(FILES.items())] + [(100 + k, f"{name}/src/x.c", "int x;") for k, name in enumerate(FILES)]
+    got = {r.path: r.licence for r in L.scan(spark.createDataFrame(rows, "doc_id bigint, path string, text string")).collect()}
+    assert got == {f"{name}/{x}": name for name in FILES for x in ("LICENSE", "src/x.c")}
