@@ -98,7 +98,9 @@ def copies(docs: DataFrame, targets: dict | None = None, margins: tuple[str, ...
     cell, rate, many = {c: unused(docs, f"mix_{c}") for c in by}, unused(docs, "mix_rate"), unused(docs, "mix_copies")
     found = rates(docs, targets, margins, total).select(*[F.col(c).alias(cell[c]) for c in by], F.col("rate").alias(rate))
     same = [F.col(c).cast("string").eqNullSafe(F.col(cell[c])) for c in by]
-    chance = F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("text", F.lit(7))).otherwise(F.xxhash64(F.col("doc_id").cast("bigint"), F.lit(7))), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    # a hash that SQL engines share
+    key = F.coalesce(F.col("doc_id").cast("bigint").cast("string"), F.concat(F.lit("text "), F.xxhash64("text").cast("string")))
+    chance = F.conv(F.substring(F.md5(F.concat(F.lit("7 "), key)), 1, 8), 16, 10).cast("bigint") / F.lit(float(1 << 32))
     found = durable(found)
     if found.limit(BROADCAST_CELLS + 1).count() <= BROADCAST_CELLS:
         found = F.broadcast(found)
@@ -118,3 +120,18 @@ def mixed(docs: DataFrame, targets: dict | None = None, margins: tuple[str, ...]
     """docs with each row as often as mix says; columns as they are, whatever their names. Nulls, empty texts, repeated rows and empty tables as in mix: rows of rate 0 go."""
     out, _, many = copies(docs, targets, margins, total)
     return out.filter(F.col(many) > 0).withColumn(unused(out, "mix_copy"), F.explode(F.sequence(F.lit(1), F.col(many)))).select(*docs.columns)
+
+
+#: mix over documents with languages' shares kept: rates by proportional fitting, 150 rounds of it, which has the same limit.
+SQL = f"""
+WITH RECURSIVE counted AS (SELECT doc_id, source, lang, CASE WHEN len(regexp_extract_all(text, '[^ \\t\\n\\x0b\\f\\r]+')) > 0 THEN len(regexp_extract_all(text, '[^ \\t\\n\\x0b\\f\\r]+')) + 1 ELSE 0 END AS n FROM documents),
+cells AS (SELECT source, lang, CAST(sum(n) AS DOUBLE) AS mass FROM counted GROUP BY ALL HAVING sum(n) > 0),
+share AS (SELECT source, pow(sum(mass) / (SELECT sum(mass) FROM cells), {TEMPERATURE}) AS w FROM cells GROUP BY 1),
+want AS (SELECT source, lang, mass, (SELECT sum(mass) FROM cells) * w / (SELECT sum(w) FROM share) AS by_source, sum(mass) OVER (PARTITION BY lang) AS by_lang FROM cells JOIN share USING (source)),
+fit(i, source, lang, mass, by_source, by_lang, rate) AS (
+  SELECT 0, *, CAST(1 AS DOUBLE) FROM want
+  UNION ALL
+  SELECT i + 1, source, lang, mass, by_source, by_lang, rate * CASE WHEN i % 2 = 0 THEN by_source / sum(mass * rate) OVER (PARTITION BY source) ELSE by_lang / sum(mass * rate) OVER (PARTITION BY lang) END FROM fit WHERE i < 300
+),
+found AS (SELECT doc_id, c.source, c.lang, n, coalesce(rate, 0) AS rate, CAST('0x' || md5('7 ' || doc_id)[1:8] AS BIGINT) / 4294967296.0 AS u FROM counted c LEFT JOIN (SELECT * FROM fit WHERE i = 300) f ON f.source IS NOT DISTINCT FROM c.source AND f.lang IS NOT DISTINCT FROM c.lang)
+SELECT doc_id, source, lang, n AS n_tokens, round(rate, 5) AS rate, CAST(floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END AS INTEGER) AS copies FROM found"""

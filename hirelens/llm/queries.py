@@ -14,9 +14,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As each doc_id has one text, it tells the documents apart."""
     from hirelens.llm.substrings import repeats
 
-    return repeats(table(spark, sf_dir, "documents"))
+    return repeats(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +75,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources by tokens to the power of 0.7, the shares of languages as they are."""
     from hirelens.llm.mixing import mix
 
-    return mix(table(spark, sf_dir, "documents"), margins=("lang",))
+    return mix(table(spark, sf_dir, "documents"), margins=("lang",)).withColumn("rate", F.round("rate", 5))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -82,6 +83,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from hirelens.llm.licenses import SQL
+    from hirelens.llm import licenses, mixing, packing, substrings
 
-    return {"op7_licenses": SQL}
+    return {"op1_substring_dedup": substrings.SQL, "op4_packing": packing.SQL, "op7_licenses": licenses.SQL, "op10_mixing": mixing.SQL}
