@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hirelens.functions.skills import DICTIONARY, keywords, matched, missing, skill_weight
-from hirelens.functions.text import backoff_ms, col
+from hirelens.functions.text import backoff_ms, col, falsy_to
 from hirelens.operators.validation import FAILED
 from hirelens.schemas import JOB_REQUIREMENTS, LLM_MATCH, RESUME_INFO
 
@@ -115,6 +115,13 @@ def call_model(table: DataFrame, column: str, out: str, schema: str, backend: Ca
     return table.mapInPandas(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema] + [f"`{out}` {schema}", "error string"]))
 
 
+def client_result(response: str | Column, operation: str) -> Column:
+    """What a caller gets of an envelope: its data, or what is thrown, the error or a default if that is empty."""
+    r = col(response)
+    ok = F.coalesce(r["success"], F.lit(False))
+    return F.struct(F.when(ok, r["data"]).alias("data"), F.when(~ok, falsy_to(r["error"], FAILED[operation].rstrip(": "))).alias("thrown"))
+
+
 def analysed(candidates: DataFrame) -> DataFrame:
     """Where matching failed (matchError) the extraction stands, completed, without a match."""
     return candidates.withColumns({"matchResults": F.when(F.col("matchError").isNull(), F.col("matchResults")), "status": F.when(F.col("extractedInfo").isNotNull(), "completed").otherwise("error")})

@@ -21,6 +21,15 @@ def save(history: DataFrame, new: DataFrame, n: int = KEEP) -> DataFrame:
     return keep_newest(history.unionByName(keyed, allowMissingColumns=True), n)
 
 
+def printed(history: DataFrame, sessions: DataFrame, when: str, n: int = KEEP) -> tuple[DataFrame, DataFrame]:
+    """Sessions (user_email, timestamp, candidates, ...) with candidates are saved, without a title, and printed: the history then, and one page (user_email, timestamp, pos, report) for each candidate. The pages are the text reports; a browser's PDF is out of scope."""
+    from hirelens.sources.exports import report
+
+    some = sessions.filter(F.size("candidates") > 0)
+    pages = some.select("user_email", "timestamp", F.posexplode("candidates").alias("pos", "c")).select("user_email", "timestamp", F.col("pos").cast("bigint").alias("pos"), "c.*")
+    return save(history, some.withColumn("jobTitle", F.lit("")), n), pages.select("user_email", "timestamp", "pos", report(when).alias("report"))
+
+
 def clear(history: DataFrame, user: str) -> DataFrame:  # U3
     return history.filter(F.col("user_email") != user)
 

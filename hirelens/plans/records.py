@@ -59,6 +59,24 @@ def sign_in_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", validation.login_error("mode", "email", F.lit("secret"), "first", F.lit("B")).alias("login_error"), pool.blank("typed").alias("is_blank"), validation.next_status("was", step).alias("status"), T.full_name("mode", F.lit("A"), "user").alias("name"), T.storage_key("email").alias("key"))
 
 
+@query("SELECT item_id, CASE WHEN item_id % 3 = 0 THEN text END AS data, CASE WHEN item_id % 3 = 1 THEN 'Job description is required and must be a string' WHEN item_id % 3 = 2 THEN 'Failed to analyze job description' END AS thrown FROM benchmark")
+def client_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of three answers one is well, one tells its error, and one tells nothing."""
+    k = F.col("item_id") % 3
+    answer = F.struct(F.when(k == 0, True).alias("success"), F.col("text").alias("data"), F.when(k == 1, validation.job_error(F.lit(""))).when(k == 2, "").alias("error"))
+    return table(spark, sf_dir, "benchmark").select("item_id", backends.client_result(answer, "analyze").alias("x")).select("item_id", "x.*")
+
+
+@query("WITH l AS (SELECT *, max(CASE WHEN event_type = 'error' THEN event_id END) OVER (PARTITION BY user_id) AS gone FROM events) SELECT CAST(user_id AS VARCHAR) AS client, arg_max(event_type, event_id) AS role, arg_max(event_id || '@x', event_id) AS email, arg_max(event_id, CASE WHEN event_type = 'click' THEN event_id END) || '' AS name FROM l WHERE gone IS NULL OR event_id > gone GROUP BY user_id")
+def identities_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event as a login in the role of its type, clicks with a name; errors sign out."""
+    from hirelens.sources.identity import signed_in
+
+    kind, n = F.col("event_type"), F.col("event_id").cast("string")
+    log = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("client"), F.col("event_id").alias("seq"), F.when(kind != "error", kind).alias("role"), F.concat(n, F.lit("@x")).alias("email"), F.when(kind == "click", n).otherwise("").alias("name"))
+    return signed_in(log)
+
+
 @query("SELECT c_custkey AS id, 'update' AS method, '/databases/(default)/documents/customers/' || c_custkey AS path, CASE WHEN c_custkey % 7 <> 0 THEN 'u' END AS uid, c_nationkey + 1 AS moved FROM customer WHERE c_custkey % 7 = 0 OR c_nationkey % 4 = 0")
 def denied_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Updates that are refused, as they are told; every fourth nation's move a parent id, every seventh comes from nobody."""
@@ -160,6 +178,18 @@ def history_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.clear(history.save(there, new), "11")
 
 
+@query("WITH s AS (SELECT o_custkey, o_orderkey, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_quantity > 25 GROUP BY ALL) SELECT CAST(o_custkey AS VARCHAR) AS user_email, 'analysis-' || o_orderkey AS id, n AS pages FROM s WHERE n > 0 QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC, 'analysis-' || o_orderkey DESC) <= 20")
+def sessions_printed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """customers' orders as sessions, their larger lines the candidates; those with any are saved, and each candidate is a page."""
+    lines = table(spark, sf_dir, "lineitem").filter("l_quantity > 25").select("l_orderkey", F.struct(F.col("l_partkey").cast("string").alias("name"), F.lit("f").alias("fileName"), F.struct(F.array().cast("array<string>").alias("skills"), F.array().cast("array<struct<title: string>>").alias("experience")).alias("extractedInfo"), F.struct(F.col("l_quantity").alias("matchScore"), F.array().cast("array<string>").alias("missingSkills"), F.lit("r").alias("reasons")).alias("matchResults")).alias("c"))
+    held = table(spark, sf_dir, "orders").join(lines.groupBy("l_orderkey").agg(F.collect_list("c").alias("candidates")), F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    new = held.select(F.col("o_custkey").cast("string").alias("user_email"), F.col("o_orderkey").alias("timestamp"), F.coalesce("candidates", F.array()).alias("candidates"))
+    none = spark.createDataFrame([], "user_email string, id string, timestamp bigint, jobTitle string")
+    saved, pages = history.printed(none, new, "1/31/2024")
+    many = pages.filter(F.startswith("report", F.lit("\nCANDIDATE"))).groupBy("user_email", "timestamp").agg(F.count("*").alias("pages"))
+    return saved.join(many, ["user_email", "timestamp"]).select("user_email", "id", "pages")
+
+
 @query("WITH o AS (SELECT row_number() OVER (ORDER BY l_linenumber, 'c' || l_partkey, l_quantity) - 1 AS pos, 'c' || l_partkey AS id, l_quantity AS score FROM lineitem WHERE l_orderkey = (SELECT min(l_orderkey) FROM lineitem)) SELECT CAST(pos AS BIGINT) AS pos, id, score, first(id ORDER BY pos) OVER () AS active, 'T' AS title FROM o")
 def history_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The session of the first order, its lines the candidates."""

@@ -51,7 +51,7 @@ def latest(versions: DataFrame) -> DataFrame:
     return versions.groupBy("id").agg(F.max_by(F.struct("shortlisted", "addedAt", "score", "alive"), "version").alias("s")).select("id", "s.*").filter("alive").drop("alive")
 
 
-def notifications(actions: DataFrame) -> DataFrame:
+def notifications(actions: DataFrame, remove_after_ms: int = REMOVE_AFTER_MS) -> DataFrame:
     """ST5, W4, ST7: a stream of (channel, seq, action, id, title) to what each channel shows (update mode): add keeps the newest only; update changes the title of the one with the id; dismiss, of one id or all, closes it and starts the time to its removal; remove takes it away."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -72,7 +72,7 @@ def notifications(actions: DataFrame) -> DataFrame:
                     shown = (None, None, False)
             state.update(shown)
             if shown[0] is not None and not shown[2]:
-                state.setTimeoutDuration(REMOVE_AFTER_MS)
+                state.setTimeoutDuration(remove_after_ms)
         yield pd.DataFrame({"channel": [key[0]], "id": pd.Series([shown[0]], dtype="object"), "title": pd.Series([shown[1]], dtype="object"), "open": [shown[2]]})
 
     return actions.groupBy("channel").applyInPandasWithState(step, "channel string, id string, title string, open boolean", "id string, title string, open boolean", "update", GroupStateTimeout.ProcessingTimeTimeout)

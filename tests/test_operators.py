@@ -3,6 +3,7 @@
 import csv
 import io
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -253,3 +254,37 @@ def test_postings_and_scores(spark):
     jobs = spark.createDataFrame([(9, "python sql")], "item_id long, text string")
     got = scoring.tfidf_scores(docs, jobs).collect()
     assert [(r.id, r.job) for r in got] == [(1, 9)] and 0.9 < got[0].score < 1
+
+
+def test_dismissed_notifications_go(spark, tmp_path):
+    """ST7: a dismissed notification is taken away once its time has passed, in the next batch; an open one stays."""
+    schema = "channel string, seq bigint, action string, id string, title string"
+    shown = {}
+
+    def run(*rows):
+        spark.createDataFrame(rows, schema).write.mode("append").json(f"{tmp_path}/in")
+        logs.run_once(logs.notifications(spark.readStream.schema(schema).json(f"{tmp_path}/in"), 1), f"{tmp_path}/c", lambda b, n: shown.update({r.channel: (r.id, r.open) for r in b.collect()}), "update", timeouts=True)
+
+    run(("a", 1, "add", "n1", "x"), ("a", 2, "dismiss", None, None), ("b", 1, "add", "n2", "y"))
+    assert shown == {"a": ("n1", False), "b": ("n2", True)}
+    time.sleep(0.1)
+    run(("c", 1, "add", "n3", "z"))
+    assert shown == {"a": (None, False), "b": ("n2", True), "c": ("n3", True)}
+
+
+def test_placeholder_images(spark, tmp_path):
+    """S19."""
+    (tmp_path / "images.json").write_text('[{"id": "a", "description": "d", "imageUrl": "u", "imageHint": "h"}]')
+    assert [tuple(r) for r in documents.placeholder_images(spark, f"{tmp_path}/images.json").collect()] == [("a", "d", "u", "h")]
+    (tmp_path / "none.json").write_text("[]")
+    assert documents.placeholder_images(spark, f"{tmp_path}/none.json").count() == 0
+
+
+def test_resume_lines(spark):
+    text = "Jane\nSenior Engineer at Acme (2019 - 2022)\nLed a team\nTeacher | School of Art | 2001 to 2004\nMSc, Some College, 2000\nCertified in X"
+    got = spark.range(1).select(backends.lexical_resume(F.lit(text)).alias("r")).first().r
+    assert [tuple(x) for x in got.experience] == [("Senior Engineer", "Acme", "2019 - 2022", "Led a team")]
+    assert [x.degree for x in got.education] == ["", "MSc"] and got.education[1].institution == "Some College" and got.education[1].graduationDate == "2000"
+    assert got.certifications == ["Certified in X"]
+    empty = spark.range(1).select(backends.lexical_resume(F.lit(None).cast("string")).alias("r")).first().r
+    assert empty.skills == empty.experience == empty.education == empty.certifications == []
