@@ -13,6 +13,10 @@ def prose(rng, lang, words):
     return " ".join("".join(rng.choice(SYLLABLES[lang]) for _ in range(rng.randint(1, 4))) for _ in range(words)).capitalize() + "."
 
 
+def coded(text, codes):
+    return "".join(map(chr, L.encode(text, codes)))
+
+
 def corpus(spark, n=90, seed=0):
     rng = random.Random(seed)
     rows = [(k, prose(rng, lang := sorted(SYLLABLES)[k % 3], rng.randint(30, 200)), lang) for k in range(n)]
@@ -20,25 +24,44 @@ def corpus(spark, n=90, seed=0):
 
 
 def naive(text, trained):
-    """Phrases of the greedy parse, by search in the training text; blocks as the operator has them."""
-    n = 0
+    """Phrases of the greedy parse, by search in the training text, and those that the end of a block didn't cut off; blocks as the operator has them."""
+    n = cut = 0
     for a in range(0, len(text), L.BLOCK):
         block, k = text[a : a + L.BLOCK], 0
         while k < len(block):
             size = 1
             while k + size < len(block) and block[k : k + size + 1] in trained:
                 size += 1
+            cut += k + size == len(block) and block[k:] in trained
             k += size
             n += 1
-    return n
+    return n, n - cut
 
 
 def test_phrases_against_search():
     rng = random.Random(1)
-    coded = [[rng.randint(0, 4) for _ in range(400)], [rng.randint(2, 6) for _ in range(300)]]
+    trained = [[rng.randint(0, 4) for _ in range(400)], [rng.randint(2, 6) for _ in range(300)]]
     texts = [bytes(rng.randint(0, 7) for _ in range(n)) for n in (0, 1, 5, 300, L.BLOCK, L.BLOCK + 1, 3 * L.BLOCK + 7)]
-    got = L.phrases([np.frombuffer(t, np.uint8) for t in texts], [L.table(L.edges(L.automaton(c)), 8) for c in coded], 8)
-    assert got.tolist() == [[naive(t, bytes(c)) for t in texts] for c in coded]
+    for dense in (94, 3):
+        L.DENSE, before = dense, L.DENSE
+        got = L.phrases([np.frombuffer(t, np.uint8) for t in texts], [L.table(L.edges(L.automaton(c)), 8) for c in trained], 8)
+        L.DENSE = before
+        for k in range(2):
+            assert got[k].tolist() == [[naive(t, bytes(c))[k] for t in texts] for c in trained]
+
+
+def test_large_alphabets(spark):
+    """Thousands of letters keep apart what letters beyond the 94 commonest would confuse; other scripts are in no language."""
+    rng = random.Random(4)
+    han, hangul, thai = (["".join(chr(rng.randrange(a, b)) for _ in range(2)) for _ in range(n)] for a, b, n in ((0x4E00, 0x59B8, 1500), (0xAC00, 0xB000, 600), (0x0E01, 0x0E2F, 300)))
+    text = lambda of, n: " ".join(rng.choice(of) for _ in range(n))
+    rows = [(k, text((han, hangul)[k % 2], 150), ("zh", "ko")[k % 2]) for k in range(80)]
+    model = L.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert model["width"] > 2000 and all(1 not in e[:, 1] for e in model["edges"])
+    test = [text((han, hangul, thai)[k % 3], 60) for k in range(30)] + ["\u0e01", "\u0e01\u0e02", han[0][0]]
+    got = list(L.score(test, model))
+    assert [g[0] for k, g in enumerate(got[:30]) if k % 3 < 2] == ["zh", "ko"] * 10
+    assert [g[3] <= L.MOST_BITS for g in got] == [k % 3 < 2 for k in range(30)] + [False, False, True]
 
 
 def test_held_out_accuracy(spark):
@@ -51,11 +74,11 @@ def test_held_out_accuracy(spark):
 def test_query_against_search(spark):
     docs = corpus(spark, 12)
     model = L.train(docs)
-    trained = [x.tobytes() for x in (L.encode(" ".join(r[0] for r in docs.filter(f"lang = '{lang}'").orderBy("doc_id").select("text").collect()).lower(), model["codes"]) for lang in model["langs"])]
+    trained = [coded(" ".join(r[0] for r in docs.filter(f"lang = '{lang}'").orderBy("doc_id").select("text").collect()).lower(), model["codes"]) for lang in model["langs"]]
     assert sorted(map(len, trained)) == sorted(model["sizes"])
     for r in L.identify(docs).join(docs, "doc_id").collect():
-        x = L.encode(r.text, model["codes"]).tobytes()
-        bits = min(round(naive(x, t) * math.log2(n + 1) / len(x), 6) for t, n in zip((L.encode(" ".join(y[2] for y in sorted((h.h, h.doc_id, h.text) for h in docs.filter(f"lang = '{lang}'").selectExpr("pmod(xxhash64(doc_id), 4294967296l) h", "doc_id", "text").collect())).lower(), model["codes"]).tobytes() for lang in model["langs"]), model["sizes"]))
+        x = coded(r.text, model["codes"])
+        bits = min(round(naive(x, t)[0] * math.log2(n + 1) / len(x), 6) for t, n in zip((coded(" ".join(y[2] for y in sorted((h.h, h.doc_id, h.text) for h in docs.filter(f"lang = '{lang}'").selectExpr("pmod(xxhash64(doc_id), 4294967296l) h", "doc_id", "text").collect())).lower(), model["codes"]) for lang in model["langs"]), model["sizes"]))
         assert r.bits == pytest.approx(bits)
 
 
