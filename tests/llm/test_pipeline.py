@@ -1,14 +1,15 @@
 """The whole pipeline against plain Python over a small corpus."""
 
+import hashlib
 import math
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 import corpus_pipeline
 from hirelens.llm import language, mixing, near_duplicates
 from hirelens.llm.substrings import GRAM, MIN_WORDS
+from tests.llm.test_language import coded
 from tests.llm.test_language import naive as naive_phrases
 from tests.llm.test_mixing import raking
 from tests.llm.test_near_duplicates import groups, matches
@@ -81,11 +82,12 @@ def test_against_brute_force(spark, documents):
     trained = []
     for lang in model["langs"]:
         own = sorted((hashed[d], d, t) for d, t, g, *_ in rows if g == lang and t and 100 <= len(t) <= language.TRAIN_LONGEST)[: language.TRAIN_DOCS]
-        trained.append(language.encode(" ".join(x[2] for x in own)[: language.TRAIN_CHARS].lower(), model["codes"]).tobytes())
+        trained.append(coded(" ".join(x[2] for x in own)[: language.TRAIN_CHARS].lower(), model["codes"]))
     kept = []
     for r in rows:
-        x = language.encode(r[1] or "", model["codes"]).tobytes()
-        if x and min(naive_phrases(x, t) * math.log2(len(t) + 1) / len(x) for t in trained) <= language.MOST_BITS:
+        x = coded(r[1] or "", model["codes"])
+        each = [tuple(round(n * math.log2(len(t) + 1) / len(x), 6) for n in naive_phrases(x, t)) for t in trained] if x else []
+        if x and min(e[1] for e in each) <= language.MOST_BITS:
             kept.append(r)
     got = stages["language ID"](spark, docs, documents)
     assert got.columns == docs.columns and sorted(map(tuple, got.collect())) == sorted(kept)
@@ -109,7 +111,7 @@ def test_against_brute_force(spark, documents):
     total, by = sum(mass.values()), lambda j: {x: sum(m for c, m in mass.items() if c[j] == x) for x in {c[j] for c in mass}}
     weight = {s: (m / total) ** mixing.TEMPERATURE for s, m in by(0).items()}
     exact = raking(mass, [{s: total * w / sum(weight.values()) for s, w in weight.items()}, by(1)])
-    u = {r.doc_id: r.u for r in docs.select("doc_id", (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) / float(1 << 30)).alias("u")).collect()}
+    u = {d: int(hashlib.md5(f"7 {d}".encode()).hexdigest()[:8], 16) / 2**32 for d, *_ in rows}
     kept4 = [r for r in kept3 for _ in range(int(exact[r[3], r[2]]) + (u[r[0]] < exact[r[3], r[2]] % 1))]
     assert sorted(map(tuple, stages["source mixing"](spark, spark.createDataFrame(kept3, docs.schema), documents).collect())) == sorted(kept4)
 
