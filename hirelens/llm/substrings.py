@@ -283,3 +283,14 @@ def without_repeats(docs: DataFrame, least: int = MIN_WORDS, gram: int = GRAM) -
 
     joined = docs.join(gone, (F.col("doc_id").cast("bigint") == F.col(cut_id)) & (F.xxhash64("text") == F.col(cut_hash)), "left")
     return joined.select(*[docs[c] for c in names], cut_at).mapInArrow(cut, docs.schema)
+
+
+#: repeats over documents, whose doc_ids are unique, without text_hash: all windows of 50 words.
+SQL = f"""
+WITH words AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS k FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '[\\x{{00}}-\\x{{20}}]+'), lambda x: x <> '') AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)),
+windows AS (SELECT doc_id, k, md5(string_agg(word, ' ') OVER near) AS h, count(*) OVER near AS n FROM words WINDOW near AS (PARTITION BY doc_id ORDER BY k ROWS BETWEEN CURRENT ROW AND {MIN_WORDS - 1} FOLLOWING)),
+found AS (SELECT doc_id, k, first_value(doc_id) OVER w AS first_doc, first_value(k) OVER w AS first_k, count(*) OVER (PARTITION BY h) AS many FROM windows WHERE n = {MIN_WORDS} WINDOW w AS (PARTITION BY h ORDER BY doc_id, k)),
+cut AS (SELECT doc_id, (doc_id, k) <> (first_doc, first_k) AS again, CASE WHEN (doc_id, k) <> (first_doc, first_k) AND doc_id = first_doc THEN greatest(k, first_k + {MIN_WORDS}) ELSE k END AS lo, k + {MIN_WORDS} AS hi FROM found WHERE many > 1),
+held AS (SELECT *, max(hi) OVER (PARTITION BY doc_id, again ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM cut WHERE lo < hi),
+islands AS (SELECT *, sum(CASE WHEN before >= lo THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, again ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS island FROM held)
+SELECT doc_id, again, CAST(min(lo) AS INTEGER) AS start_word, CAST(max(hi) AS INTEGER) AS end_word FROM islands GROUP BY doc_id, again, island"""
