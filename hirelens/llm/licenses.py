@@ -108,7 +108,7 @@ def scan(files: DataFrame, least: float = LEAST) -> DataFrame:
     Ties go to the earlier template, then to runs of lines before paragraphs, then to the earlier passage; between licence files to the lesser doc_id. Null and empty texts have no notice but inherit; documents with a null path don't inherit; rows without doc_id are left out, and rows that repeat one are one document, that of the least path and the least of the texts with a cue word. Paths are divided by "/"; other columns don't matter."""
     base = files.filter("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("path").cast("string").alias("path"), "text")
     places = base.groupBy("doc_id").agg(F.min("path").alias("path")).withColumn("dir", F.regexp_replace("path", r"/?[^/]*$", ""))
-    found = durable(notices(base.filter(F.col("text").rlike(CUE)).groupBy("doc_id").agg(F.min("text").alias("text")), least))
+    found = durable(notices(durable(base.filter(F.col("text").rlike(CUE)).groupBy("doc_id").agg(F.min("text").alias("text"))), least))
     known = durable(places.join(found, "doc_id", "left"))
     name = F.regexp_extract("path", r"[^/]*$", 0)
     dirs = known.filter(F.col("licence").isNotNull() & F.col("dir").isNotNull() & (F.col("whole") | name.rlike(LICENCE_FILE))).groupBy("dir").agg(F.max_by("licence", F.struct("score", -F.col("doc_id"))).alias("dir_licence")).withColumnRenamed("dir", "from_dir")
