@@ -52,6 +52,10 @@ def final_score(tfidf: str | Column, bert: str | Column, skill: str | Column, we
     return F.when(have > 0, 100 * sum((F.coalesce(c, F.lit(0.0)) * w for c, w in parts), F.lit(0.0)) / have)
 
 
+#: D1's tokens, in small letters.
+TERM = "[a-z0-9+#.]+"
+
+
 def terms(c: str | Column) -> Column:
-    """D1's tokens."""
-    return F.filter(F.split(F.lower(F.coalesce(col(c), F.lit(""))), "[^a-z0-9+#.]+"), lambda t: t != "")
+    """D1's tokens, in order."""
+    return F.regexp_extract_all(F.lower(F.coalesce(col(c), F.lit(""))), F.lit(TERM), F.lit(0))
