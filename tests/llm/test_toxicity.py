@@ -1,5 +1,6 @@
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -107,3 +108,65 @@ def test_every_token_of_the_rule_counts(spark):
     model = T.train(*frames(spark, [(k, f"{t} only{k}") for k, t in docs], labels))
     h = lambda w: T.tokens(w)[0] in model["h"]
     assert h("both") and not h("rare") and not h("a1")
+
+
+def plain(docs, labels):
+    """The query in plain Python, by the definitions; only the segments come from the operator, which has its own test."""
+    label = dict(labels)
+    texts: dict = {}
+    for doc, text in docs:
+        if doc in label:
+            texts[text] = max(label[doc], texts.get(text, 0))
+    toxic, clean = Counter(), Counter()
+    for text, y in texts.items():
+        (toxic if y else clean).update(set(text.lower().split()))
+    n_t, n_c = sum(toxic.values()), sum(clean.values())
+
+    def odds(t, c):
+        total = max(1.0, T.PRIOR * math.sqrt(n_t + n_c))
+        prior = total * (t + c) / (n_t + n_c)
+        a, b = t + prior, c + prior
+        d = math.log(a / (n_t + total - a)) - math.log(b / (n_c + total - b))
+        return d, d / math.sqrt(1 / a + 1 / b)
+
+    least = next((k for k in range(1, 200) if odds(k, 0)[1] >= T.LEAST_Z), 1)
+    often = [w for w in {*toxic, *clean} if toxic[w] + clean[w] >= least]
+    now = {w: odds(toxic[w], clean[w]) for w in often}
+    less = {w: odds(toxic[w], clean[w] - 1) for w in often if clean[w] and toxic[w] + clean[w] > 1}
+    rows = [w for w in often if abs(now[w][1]) >= T.LEAST_Z or w in less and abs(less[w][1]) >= T.LEAST_Z]
+    score = {w: d - T.DRIFT for w, (d, z) in now.items() if abs(z) >= T.LEAST_Z}
+    share = {w: (clean[w] + 1) / (n_c + len(rows)) for w in score}
+    excess = lambda x: sum(share[w] * math.exp(x * s) for w, s in score.items()) + (1 - sum(share.values())) * math.exp(-x * T.DRIFT) - 1
+    lo, hi = 1e-6, 64.0
+    for _ in range(200):
+        lo, hi = ((lo + hi) / 2, hi) if excess((lo + hi) / 2) < 0 else (lo, (lo + hi) / 2)
+    rate = lo
+
+    def passages(text, score):
+        w = text.lower().split()
+        at = [k for k, x in enumerate(w) if x in score and (not k or w[k - 1] != x)]
+        return T.segments(at, [score[w[k]] for k in at]), len(w)
+
+    others = {w: less[w][0] - T.DRIFT for w in less if abs(less[w][1]) >= T.LEAST_Z}
+    met = [passages(t, others) for t, y in texts.items() if not y]
+    k = (sum(len(p) for p, _ in met) + 1) / sum(n for _, n in met)
+    pois = lambda n, m: math.exp(n * math.log(m) - m - math.lgamma(n + 1))
+    out = []
+    for doc, text in docs:
+        found, n = passages(text, score)
+        if found:
+            x, mean = rate * sum(s for *_, s in found), k * n
+            together = 1.0 if x <= mean else sum(pois(j, mean) * sum(pois(i, x) for i in range(j)) for j in range(1, 150))
+            p = [1 - math.exp(-mean * math.exp(-rate * s)) if mean * math.exp(-rate * s) > 1e-9 else mean * math.exp(-rate * s) for *_, s in found]
+            if min(*p, together) <= T.ALPHA:
+                out += [(doc, a, b, s, q, len(found), min(*p, together)) for (a, b, s), q in zip(found, p)]
+    return out
+
+
+def test_query_against_plain_python(spark):
+    d, y = corpus(6, 300)
+    want = sorted(plain(d, y))
+    got = sorted((r.doc_id, r.start_token, r.end_token, r.score, r.p_value, r.n_passages, r.doc_p_value) for r in T.toxic_passages(*frames(spark, d, y)).collect())
+    assert [g[:3] + g[5:6] for g in got] == [w[:3] + w[5:6] for w in want] and len(got) > 40
+    for g, w in zip(got, want):
+        assert g[3:5] + g[6:] == pytest.approx(w[3:5] + w[6:], rel=1e-4, abs=1e-300)

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 
+from hirelens.llm import _common as C
 from hirelens.llm import winnowing as W
 
 
@@ -12,6 +13,29 @@ def brute(text, k, w):
     return grams, at
 
 
+def gram_hash(gram):
+    """The hash of a gram by the definition: its code points as digits to a base modulo 2**64, and its length, spread."""
+    h = (sum(ord(c) * pow(C.ODD, j, 1 << 64) for j, c in enumerate(gram)) + len(gram)) % (1 << 64)
+    for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+        h = (h ^ h >> shift) * by % (1 << 64)
+    return h
+
+
+def test_rows_against_brute_force(spark):
+    """The query's rows with production parameters and small ones: every window's least hash, the rightmost if tied."""
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abC dé\n.") for _ in range(n)) for n in (0, 5, 60, 200, 900)] + ["aaaa" * 30, None]
+    docs = spark.createDataFrame([(k // 2, t, 0) for k, t in enumerate(texts)], "doc_id bigint, text string, hashes int")
+    for k, w in ((W.GRAM, W.WINDOW), (5, 4)):
+        want = []
+        for n, t in enumerate(texts):
+            grams, at = brute(t or "", k, w)
+            h = [gram_hash(g) for g in grams]
+            chosen = sorted({max(j for j in range(i, min(i + w, len(h))) if h[j] == min(h[i : i + w])) for i in range(max(1, len(h) - w + 1) if h else 0)})
+            want.append((n // 2, len(chosen), [h[j] - (h[j] >> 63 << 64) for j in chosen], [at[j] for j in chosen]))
+        assert sorted((r.doc_id, r.n_fingerprints, r.hashes, r.positions) for r in W.winnow(docs, k, w).collect()) == sorted(want)
+
+
 def test_against_brute_force(spark):
     rng = random.Random(0)
     texts = ["".join(rng.choice("abC dé\n.😀") for _ in range(n)) for n in (0, 3, 8, 20, 100, 700)] + ["aaaa" * 30, "ab" * 50]
