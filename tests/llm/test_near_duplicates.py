@@ -98,3 +98,61 @@ def test_pairs_near_the_threshold():
     rng = np.random.default_rng(0)
     flips = [rng.choice(N.BLOCKS * N.BITS, rng.integers(31, 36), replace=False) // N.BITS for _ in range(3000)]
     assert np.mean([np.bincount(f, minlength=N.BLOCKS).min() <= 2 for f in flips]) >= 0.8
+
+
+def spread_out(rng, apart):
+    """Two random fingerprints that differ in `apart` bits, as evenly over the 8 blocks as can be."""
+    a = rng.random((N.BLOCKS, N.BITS)) < 0.5
+    b = a.copy()
+    for k in range(N.BLOCKS):
+        b[k, rng.choice(N.BITS, apart // N.BLOCKS + (k < apart % N.BLOCKS), replace=False)] ^= True
+    return [np.packbits(x, axis=1).tobytes() for x in (a, b)]
+
+
+def brute(fps, most):
+    v = N.blocks(fps)
+    return {(i, j) for i in range(len(v)) for j in range(i + 1, len(v)) if np.bitwise_count(v[i] ^ v[j]).sum() <= most}
+
+
+def test_all_pairs_within_the_threshold(spark):
+    """No block of a pair need be near: here 3 to 5 bits differ in each. In one chunk, in two and in many."""
+    rng = np.random.default_rng(2)
+    fps = [f for k in range(60) for f in spread_out(rng, (24, 33, 39, 40, 41)[k % 5])]
+    # a chain through fingerprints that match their neighbours alone
+    chain = [np.packbits(np.arange(N.BLOCKS * N.BITS).reshape(N.BITS, N.BLOCKS).T < 40 * k, axis=1).tobytes() for k in range(6)]
+    fps = [fps[k] for k in rng.permutation(len(fps))] + chain
+    reps = spark.createDataFrame([(k, bytearray(f)) for k, f in enumerate(fps)], "doc_id bigint, fp binary")
+    pairs = brute(fps, N.MOST)
+    assert len(pairs) == 48 + 5
+    for chunk in (N.CHUNK, 70, 13, 3):
+        got = {(min(r), max(r)) for r in N.near_edges(reps, chunk=chunk).collect()}
+        assert got <= pairs and groups(got) == groups(pairs)
+
+
+def test_links_against_brute_force():
+    """Biased bits, as one language has them, so that many are near the threshold; any threshold; groups in pieces."""
+    rng = np.random.default_rng(3)
+    share = rng.choice((0.06, 0.2), (1, N.BLOCKS, N.BITS))
+    fps = [np.packbits(x, axis=1).tobytes() for x in rng.random((400, N.BLOCKS, N.BITS)) < share]
+    v, ids = N.blocks(fps), np.arange(400)
+    for most in (0, 3, 15, 16, 30, 40, 47):
+        pairs = brute(fps, most)
+        assert groups(set(N.links(v, ids, most))) == groups(pairs) and set(N.links(v, ids, most)) <= pairs
+        across = {(i, j) for i, j in pairs if i < 150 <= j}
+        assert groups(set(N.links(v, ids, most, 150))) == groups(across)
+    tile, N.TILE = N.TILE, 50
+    try:
+        assert groups(set(N.links(v, ids, 40))) == groups(brute(fps, 40))
+    finally:
+        N.TILE = tile
+
+
+def from_fingerprints(monkeypatch, fps):
+    """Texts t0, t1, ... that have these fingerprints."""
+    monkeypatch.setattr(N, "fingerprints", lambda docs: docs.sparkSession.createDataFrame([(k, bytearray(f)) for k, f in enumerate(fps)], "doc_id bigint, fp binary"))
+
+
+def test_query_finds_pairs_without_a_near_block(spark, monkeypatch):
+    fps = spread_out(np.random.default_rng(4), 40) + spread_out(np.random.default_rng(5), 41)
+    from_fingerprints(monkeypatch, fps)
+    assert found(spark, [(k, f"t{k}") for k in range(4)]) == {0: 0, 1: 0}
