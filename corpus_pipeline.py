@@ -20,7 +20,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document of least doc_id stays; rows without doc_id and texts that match nothing stay."""
+    """Of each group of near copies, joined by all pairs within the threshold, the document of least doc_id stays; rows without doc_id and texts that match nothing stay."""
     return without_near_duplicates(docs)
 
 

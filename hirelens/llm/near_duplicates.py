@@ -137,7 +137,7 @@ def links(values: np.ndarray, ids: np.ndarray, most: int, first: int | None = No
 def near_edges(reps: DataFrame, most: int = MOST, chunk: int = CHUNK) -> DataFrame:
     """reps (doc_id, fp), each fp once, to edges (a, b) that join all fingerprints that match, directly or through others.
 
-    Every two chunks meet in one task, or in several with a part of the quarters each; a fingerprint goes to as many tasks as there are chunks, times those parts. Nothing is capped; the cost is at most the square of the number of fingerprints, and a small part of it unless they are much alike."""
+    Every two chunks meet in one task, or in several with a part of the quarters each; a fingerprint goes to as many tasks as there are chunks, times those parts. Nothing is capped; the cost is a part of the square of the number of fingerprints, the larger the more they are alike."""
     n = max(1, -(-reps.count() // chunk))
     parts = next(p for p in (16, 4, 1) if n * p <= TASKS or p == 1)
 

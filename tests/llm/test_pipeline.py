@@ -128,3 +128,21 @@ def test_edges(spark, tmp_path):
         out = corpus_pipeline.run(spark, f"{tmp_path}/{k}").collect()
         assert bool(out) == (k == 0)
     assert near_duplicates.near_duplicates(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_near_copies_without_a_near_block(spark):
+    """Copies within the threshold of which each block of the fingerprint differs in 3 bits or more go too."""
+    rng, texts, pairs = random.Random(11), [], 0
+    vocabulary = [f"w{k}" for k in range(3000)]
+    while pairs < 4:
+        one = [rng.choice(vocabulary) for _ in range(60)]
+        two = [rng.choice(vocabulary) if rng.random() < 0.08 else w for w in one]
+        pair = [(len(texts) + k, " ".join(w)) for k, w in enumerate((one, two))]
+        if matches(pair, blocks_too=False) and not matches(pair):
+            texts += [t for _, t in pair]
+            pairs += 1
+    rows = [(k, t, None, None, -1) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    of = groups(matches([r[:2] for r in rows], blocks_too=False))
+    assert len(of) == 8
+    assert sorted(map(tuple, corpus_pipeline.near_dedup(spark, docs, "").collect())) == [r for r in rows if of.get(r[0], r[0]) == r[0]]
