@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hirelens.functions import skills as S
@@ -47,9 +47,8 @@ def rank_candidates_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {TF}, {JOBS}, r AS (SELECT *, row_number() OVER (PARTITION BY job ORDER BY score DESC, id) AS rank FROM scores) SELECT job, id AS doc_id, score, rank FROM r WHERE rank <= 5")
 def rank_per_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best of each job, all jobs at once."""
-    scores = scoring.tfidf_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    rank = F.row_number().over(Window.partitionBy("job").orderBy(F.desc("score"), "id"))
-    return scores.withColumn("rank", rank).filter("rank <= 5").select("job", F.col("id").alias("doc_id"), "score", F.col("rank").cast("bigint").alias("rank"))
+    best = scoring.best_per_job(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 5)
+    return best.select("job", F.col("id").alias("doc_id"), "score", F.col("rank").cast("bigint").alias("rank"))
 
 
 @query(f"WITH {TF} SELECT id AS doc_id, term, tf, df, round(weight, 6) AS weight FROM w")
