@@ -1,9 +1,11 @@
 """TF-IDF on tables whose terms don't all fit a broadcast, and the best of each job without all pairs."""
 
 import random
+import tracemalloc
 from collections import Counter
 from math import log, sqrt
 
+import pyarrow as pa
 import pytest
 
 from hirelens.operators import scoring
@@ -89,3 +91,15 @@ def test_scores_of_rare_terms(spark, tables, want, monkeypatch, request):
     assert moved < 2 * least, (moved, least)
     monkeypatch.setattr(scoring, "BROADCAST_TERMS", 0)
     assert len(scoring.tfidf_scores(docs, jobs.filter("item_id = 0")).collect()) == len(rows)
+
+
+def test_texts_become_objects_in_slices(spark, monkeypatch):
+    """What a Python worker holds beside an Arrow batch doesn't grow with the batch."""
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema: f)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10_000)), pa.array(["word" + " " * 4000] * 10_000)], ["id", "text"])
+    tracemalloc.start()
+    assert sum(b.num_rows for b in scoring.term_counts(docs, "doc_id", "text")(iter([batch]))) == 10_000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10e6
